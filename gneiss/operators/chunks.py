@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: What a symbol row may hold besides what it has; see complete().
 FIELDS = {
-    "id": "string", "kind": "string", "file_path": "string", "line": "int", "node_seq": "long", "simple_name": "string", "declaring_class_id": "string",
+    "id": "string", "kind": "string", "file_path": "string", "line": "int", "node_seq": "string", "simple_name": "string", "declaring_class_id": "string",
     "name": "string", "signature": "string", "return_type": "string", "field_type": "string", "super_class": "string", "interfaces": "array<string>",
     "params": "array<struct<name:string,type:string>>", "modifiers": "array<string>", "annotations": "array<string>", "receiver_type": "string", "expression": "string",
     "module_name": "string", "language": "string", "field_ids": "array<string>", "method_ids": "array<string>",
