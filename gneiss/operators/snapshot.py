@@ -25,14 +25,14 @@ def top_coupled(edges: DataFrame, top: int = 10) -> DataFrame:
     return in_degrees(edges).orderBy(F.col("incoming").desc(), "id").limit(top)
 
 
-def snapshot(symbols: DataFrame, edges: DataFrame, parsed_files: int, unresolved: int, label: str | None = None, workspace: str = "", version: str = "unknown") -> DataFrame:
+def snapshot(symbols: DataFrame, edges: DataFrame, parsed_files: int, unresolved: int, label: str | None = None, workspace: str = "") -> DataFrame:
     """One row with everything a snapshot document holds."""
     kinds = kind_counts(symbols).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("nodesByKind"))
     modules = symbols.filter("kind = 'MODULE'").agg(F.array_sort(F.collect_list(F.expr("substring(id, 8)"))).alias("modules"))
     top = top_coupled(edges).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("incoming")).alias("k"), "id"))), lambda x: F.struct(x["id"].alias("id"), (-x["k"]).alias("incomingEdges"))).alias("topCoupledNodes"))
     joined = totals(symbols, edges).crossJoin(kinds).crossJoin(modules).crossJoin(top)
     return joined.select(
-        F.lit(1).alias("schemaVersion"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.lit(label).cast("string").alias("label"), F.lit(version).alias("version"), F.lit(workspace).alias("workspace"),
+        F.lit(1).alias("schemaVersion"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.lit(label).cast("string").alias("label"), F.lit(workspace).alias("repoRoot"),
         F.lit(parsed_files).cast("long").alias("parsedFiles"), F.lit(unresolved).cast("long").alias("unresolvedCalls"), F.col("total_nodes").alias("totalNodes"), F.col("total_edges").alias("totalEdges"), F.col("total_files").alias("totalFiles"), F.col("module_count").alias("moduleCount"),
         "nodesByKind", "modules", "topCoupledNodes",
     )

@@ -169,8 +169,7 @@ def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None
     nodes = nodes.unionByName(kotlin_nodes.withColumnRenamed("expr", "expression")).dropDuplicates(["id"])
     java_records, kotlin_records = graph.scratch(java_records), graph.scratch(kotlin_records)
 
-    # Across the languages: constructors count as callables only within Kotlin.
-    java_methods = symbols.filter("language = 'JAVA' and kind = 'METHOD'").select("id", "name", F.size("params").alias("arity"), "receiver_type")
+    java_methods = symbols.filter("language = 'JAVA' and kind in ('METHOD', 'CONSTRUCTOR')").select("id", "name", F.size("params").alias("arity"), "receiver_type")
     across = resolve.cross_language(java_records, callables, True).unionByName(resolve.cross_language(kotlin_records, java_methods, False))
     across = graph.scratch(across)
     edges, nodes = resolve.rewrite(edges, nodes, across)
