@@ -48,8 +48,9 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
 
 
 def random_odds(seed: int) -> Column:
-    """u / (1 - u) of a number between 0 and 1 that doc_id fixes."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    """u / (1 - u) of a number between 0 and 1 that doc_id fixes: 52 bits of an MD5, which any engine can make."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
+    u = (bits.cast("long").cast("double") + 0.5) / float(1 << 52)
     return u / (1 - u)
 
 

@@ -78,10 +78,50 @@ first AS (SELECT k, min((doc_id, s)) AS f FROM w GROUP BY k HAVING count(*) > 1)
 gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([s, s + 1]) AS i FROM w JOIN first USING (k) WHERE (doc_id, s) > f)),
 listed AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), i -> g IS NULL OR NOT list_contains(g, i)), i -> ls[i + 1]), chr(10)), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: g IS NULL OR NOT list_contains(g, i)), lambda i: ls[i + 1]), chr(10)), '')) AS kept_sha256
 FROM l LEFT JOIN listed USING (doc_id)
 """
 
 
+WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: Every window of 20 words by its text, the earliest place of each, and the words that later ones cover.
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents),
+w AS (SELECT doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 19)) AS s FROM d WHERE len(ws) >= 20)),
+first AS (SELECT k, min((doc_id, s)) AS f FROM w GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM w JOIN first USING (k) WHERE (doc_id, s) > f)),
+word AS (SELECT doc_id, i, ws[i + 1] AS t FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Shares by weight with the excess of full sources passed on, then the documents of lowest rank that fit, and one that fits best.
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, CAST(source_size * {mixing.MOST_TIMES} AS DOUBLE) AS cap FROM s),
+l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM k WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce((SELECT level FROM l WHERE cap >= level * w ORDER BY cap / w, k LIMIT 1), 'inf'::DOUBLE) * w) END AS target FROM l),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, target - whole * source_size AS need, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM n),
+u AS (SELECT d.*, source_size, target, whole, need, p, (CAST('0x' || substr(md5(doc_id || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+r AS (SELECT *, (u / (1 - u)) / greatest(p / (1 - p), 1e-300) AS rank FROM u),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= need AS taken_in FROM r),
+g AS (SELECT *, need - coalesce(sum(CASE WHEN taken_in THEN size END) OVER (PARTITION BY source), 0) AS gap FROM c),
+o AS (SELECT *, min(CASE WHEN NOT taken_in AND abs(size - gap) < gap THEN (abs(size - gap), rank, doc_id) END) OVER (PARTITION BY source) AS closing FROM g)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN taken_in OR coalesce((abs(size - gap), rank, doc_id) = closing, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o
+"""
+
+#: All pairs by their cosine in double precision, and what they reach.
+VECTORS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= {vectors.THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP}
+    return {"op2_substring_dedup": SUBSTRINGS, "op5_mixing": MIXING, "op8_vectors": VECTORS, "op9_line_dedup": LINE_DEDUP}

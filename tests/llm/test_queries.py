@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import brute
+import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import differs
@@ -21,8 +22,9 @@ def documents(spark):
     return {r["doc_id"]: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
 
 
-def test_line_dedup_equals_sql(spark):
-    assert differs(spark, SMALL, queries.op9_line_dedup, queries.LINE_DEDUP) is None
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert differs(spark, SMALL, queries.queries()[name], queries.oracle_sql()[name]) is None
 
 
 def test_held_out_languages(spark):
