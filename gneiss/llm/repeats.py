@@ -18,12 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, internal_id, materialize, mix64, spread
+from .common import by_bytes, internal_id, materialize, mix64, spread, text_buffer
 
 #: Low bits of a sort key that hold a position; a chunk of tokens is shorter than 2 ** POSITION.
 POSITION = 24
 MOST_TOKENS = 1 << 22
 BASE = 0x9E3779B97F4A7C15 | 1
+#: One document in SAMPLED shows which seeds are so frequent that their rows must be spread over tasks:
+#: those with SEEN rows there or more, and with more than one row in MOST_HOT. It decides where rows go, not what is found.
+SAMPLED, SEEN, MOST_HOT = 64, 32, 10_000
+#: Marks the place of an anchor with such a seed.
+SPREAD = 1 << 60
+#: Parts that the stretches of such a seed are dealt to.
+PARTS = 256
+#: Rows under one key that the last step orders in one task.
+KEY_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -32,6 +41,7 @@ class Shape:
 
     window: int
     seed: int
+    bytes_: bool = False
 
     @property
     def reach(self) -> int:
@@ -136,7 +146,7 @@ def pack_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = place >> 16
+    at = (place & (SPREAD - 1)) >> 16
     return at, at - ((place >> 8) & 255), at - (place & 255)
 
 
@@ -144,8 +154,20 @@ def rows(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
 
-def scan(docs: DataFrame, shape: Shape, tokenize: Callable) -> DataFrame:
-    """ROWs of all documents. Within a batch an anchor whose stretch a former one has is settled at once."""
+def frequent_seeds(docs: DataFrame, shape: Shape, tokenize: Callable) -> np.ndarray:
+    """Seeds that very many stretches hold, sorted; MOST_HOT of them at most, as each has its share of the rows."""
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)
+    counts = scan(some, shape, tokenize, np.empty(0, np.uint64)).filter("place >= 0").groupBy("seed").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    found = counts.filter(F.col("n") >= max(SEEN, -(-total // MOST_HOT))).select("seed").limit(MOST_HOT).collect()
+    return np.sort(np.array([r["seed"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def scan(docs: DataFrame, shape: Shape, tokenize: Callable, hot: np.ndarray) -> DataFrame:
+    """ROWs of all documents. Within a batch an anchor whose stretch a former one has is settled at once.
+
+    Rows of hot seeds get a seed that their stretch takes part in, and a mark.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,6 +186,11 @@ def scan(docs: DataFrame, shape: Shape, tokenize: Callable) -> DataFrame:
             if not found:
                 continue
             seed, stretch, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(hot):
+                near = np.minimum(np.searchsorted(hot, seed), len(hot) - 1)
+                spread_out = hot[near] == seed
+                seed = np.where(spread_out, mix64(seed + stretch % np.uint64(PARTS)), seed)
+                place = np.where(spread_out, place | SPREAD, place)
             order = np.lexsort((place, doc, stretch, seed))
             seed, stretch, doc, place = seed[order], stretch[order], doc[order], place[order]
             repeat = later_of(seed, stretch, doc, place)
@@ -222,7 +249,7 @@ def settle(found: DataFrame, shape: Shape) -> DataFrame:
     """doc, start, end of repeated stretches, and (end null) doc, start = place of anchors still open.
 
     An anchor whose seed and stretch an earlier anchor has is repeated. The earliest of each stretch stays
-    open if its seed has other stretches too.
+    open if its seed has other stretches too, or is a frequent one whose stretches are in several tasks.
     """
     placed = found.repartition("seed").sortWithinPartitions("seed", "stretch", "doc", "place")
 
@@ -240,9 +267,9 @@ def settle(found: DataFrame, shape: Shape) -> DataFrame:
             kinds = firsts(seed[left])
             number = np.cumsum(kinds) - 1
             several = np.bincount(number, minlength=1)[number] > 1 if len(left) else np.empty(0, bool)
-            left = left[several]
+            left = left[several | (place[left] >= SPREAD)]
             n = len(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[d, doc[left]]), pa.array(np.r_[s, place[left]]), pa.array(np.r_[e, np.zeros(len(left), np.int64)], mask=np.arange(n + len(left)) >= n)], names=["doc", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[d, doc[left]]), pa.array(np.r_[s, place[left] & (SPREAD - 1)]), pa.array(np.r_[e, np.zeros(len(left), np.int64)], mask=np.arange(n + len(left)) >= n)], names=["doc", "start", "end"])
 
     return placed.mapInArrow(run, "doc long, start long, end long")
 
@@ -292,6 +319,30 @@ def extended(docs: DataFrame, still_open: DataFrame, shape: Shape, tokenize: Cal
     return joined.mapInArrow(run, "key long, doc long, start long, count int, data binary")
 
 
+def crowded_step(filed: DataFrame, shape: Shape) -> DataFrame:
+    """The same as last_step for keys with very many rows: each window by itself, by 128 bits of its hash.
+
+    Windows are summed up to their earliest place before they move, and joined with it, so no task holds a key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1 << 12):
+                batch = whole.slice(i, 1 << 12)
+                raw, starts = text_buffer(batch.column("data"))
+                tokens = raw if shape.bytes_ else np.frombuffer(raw.tobytes(), dtype=np.uint64)
+                row, step = spread(batch.column("count").to_numpy().astype(np.int64))
+                at = starts[row] // tokens.itemsize + step
+                first = rolling(tokens, shape.window)[at]
+                second = rolling(mix64(tokens.astype(np.uint64) + np.uint64(BASE)), shape.window)[at]
+                yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
+
+    windows = filed.mapInArrow(run, "h1 long, h2 long, doc long, start long")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = windows.join(first, ["h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
+    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
+
+
 def last_step(filed: DataFrame, shape: Shape, order: Callable) -> DataFrame:
     """doc, start, end of the windows that also start earlier under the same key.
 
@@ -339,9 +390,16 @@ def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable,
     later than the other; they should repeat the text too. Equal windows are found in any number of documents.
     """
     source = docs.select(internal_id("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    first = materialize(settle(scan(source, shape, tokenize), shape))
-    more = materialize(last_step(extended(source, first.filter("end is null").select("doc", "start"), shape, tokenize), shape, order))
-    covered = first.filter("end is not null").unionByName(more)
+    hot = frequent_seeds(source, shape, tokenize)
+    first = materialize(settle(scan(source, shape, tokenize, hot), shape))
+    filed = materialize(extended(source, first.filter("end is null").select("doc", "start"), shape, tokenize))
+    crowded = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ROWS).select("key"))
+    covered = first.filter("end is not null")
+    if crowded.isEmpty():
+        covered = covered.unionByName(materialize(last_step(filed, shape, order)))
+    else:
+        covered = covered.unionByName(materialize(last_step(filed.join(crowded, "key", "left_anti"), shape, order)))
+        covered = covered.unionByName(materialize(crowded_step(filed.join(crowded, "key", "left_semi"), shape)))
     listed = covered.groupBy("doc").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("stretches"))
     joined = source.join(listed, "doc", "left")
 

@@ -155,4 +155,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
         n, removed, spans, kept, digest = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return repeated(docs, Shape(length, seed), bytes_of, suffix_names(length), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))
+    return repeated(docs, Shape(length, seed, True), bytes_of, suffix_names(length), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))

@@ -122,6 +122,20 @@ def test_dense_repeats_over_a_small_alphabet(spark):
     assert found == brute.strings(enumerate(texts), 14)
 
 
+def test_frequent_seeds_and_crowded_keys(spark, monkeypatch):
+    """The ways for hot groups, forced on small ones, give the same results."""
+    for name, value in (("SAMPLED", 1), ("SEEN", 2), ("KEY_ROWS", 3)):
+        monkeypatch.setattr(repeats, name, value)
+    rnd = random.Random(11)
+    line = " ".join(f"hot{i}" for i in range(12))
+    texts = [f"{' '.join(words(rnd, 15, 500))} {line} {' '.join(words(rnd, 15, 500))}" for _ in range(40)]
+    texts += texts[:5] + [t.replace("w1", "v1") for t in texts[:10]]
+    assert len(repeats.frequent_seeds(docs_of(spark, texts).selectExpr("doc_id doc", "text"), repeats.Shape(20, 5), substrings.words_of)) > 2
+    found = by_doc(substrings.substring_dedup(docs_of(spark, texts)), "n_words", "n_removed", "kept_sha256")
+    assert found == {d: (w[0], w[1], w[3]) for d, w in brute.words(enumerate(texts)).items()}
+    assert by_doc(suffixes.suffix_dedup(docs_of(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.strings(enumerate(texts))
+
+
 def test_documents_longer_than_a_part(spark, monkeypatch):
     rnd = random.Random(6)
     monkeypatch.setattr(repeats, "MOST_TOKENS", 200)
@@ -204,7 +218,8 @@ def test_simhash_components_equal_brute_force(spark, docs, texts):
     assert kept == {c for _, c in found.values()}
 
 
-def test_every_pair_of_near_fingerprints_shares_a_cell(spark):
+@pytest.mark.parametrize("rows", [simhash.CELL_ROWS, 3])
+def test_every_pair_of_near_fingerprints_shares_a_cell(spark, rows):
     rnd = random.Random(8)
     prints = [rnd.getrandbits(64) for _ in range(300)]
     for p in prints[:200]:
@@ -214,7 +229,7 @@ def test_every_pair_of_near_fingerprints_shares_a_cell(spark):
         prints.append(q)
     prints = sorted(set(prints))
     df = spark.createDataFrame([(np.array(p, dtype=np.uint64).astype(np.int64).item(), i) for i, p in enumerate(prints)], "fp long, cid long")
-    grid = simhash.cells(df).repartition("cell").sortWithinPartitions("cell", simhash.F.col("home").desc(), "cid")
+    grid = simhash.split_cells(simhash.cells(df), rows).repartition("cell").sortWithinPartitions("cell", simhash.F.col("home").desc(), "cid")
     links = [(r["a"], r["b"]) for r in grid.mapInArrow(lambda b: simhash.linked(b, 3), "a long, b long").collect()]
     near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
     assert brute.reach(range(len(prints)), links) == brute.reach(range(len(prints)), near)
