@@ -25,6 +25,8 @@ SHINGLE = 3
 SEED = 42
 #: Pairs that a task compares at once.
 PAIRS = 1 << 21
+#: Rows of a cell that one task takes.
+CELL_ROWS = 8192
 
 
 def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
@@ -91,6 +93,30 @@ def cells(prints: DataFrame, segment: int = SEGMENT_BITS) -> DataFrame:
     return prints.mapInArrow(run, "cell long, home boolean, fp long, cid long")
 
 
+def split_cells(grid: DataFrame, most: int = CELL_ROWS) -> DataFrame:
+    """The grid with cells of more than `most` rows taken apart into pairs of blocks, each a cell of its own.
+
+    A cell's rows are dealt to blocks by their fingerprint. Two blocks of rows at home meet once, and every
+    block of visitors meets every block at home; of a pair one block is at home and the other visits.
+    """
+    sizes = materialize(grid.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    if sizes.isEmpty():
+        return grid
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+
+    def pairs(p, q, home):
+        return F.struct(p.alias("p"), q.alias("q"), home.alias("home"))
+
+    among_home = F.transform(every, lambda q: pairs(F.least(own, q), F.greatest(own, q), own <= q))
+    for_visitors = F.transform(every, lambda q: pairs(own, blocks + q, F.lit(True)))
+    visiting = F.transform(every, lambda p: pairs(p, blocks + own, F.lit(False)))
+    parts = F.when(F.col("home"), F.concat(among_home, for_visitors)).otherwise(visiting)
+    crowded = grid.join(sizes, "cell").select("cell", "fp", "cid", F.explode(parts).alias("x")).select(F.xxhash64("cell", "x.p", "x.q").alias("cell"), F.col("x.home").alias("home"), "fp", "cid")
+    return grid.join(sizes, "cell", "left_anti").select("cell", "home", "fp", "cid").unionByName(crowded)
+
+
 class Forest:
     """Union-find over any integers, that lists the links it was given without those that close a circle."""
 
@@ -164,7 +190,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
         raise ValueError("the grid finds pairs of at most 3 differing bits")
     prints = materialize(fingerprints(docs, width))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("cid")))
-    grid = cells(classes).repartition("cell").sortWithinPartitions("cell", F.col("home").desc(), "cid")
+    grid = split_cells(cells(classes)).repartition("cell").sortWithinPartitions("cell", F.col("home").desc(), "cid")
     links = grid.mapInArrow(lambda batches: linked(batches, most), "a long, b long")
     joined = components(links)
     named = classes.join(joined, classes.cid == joined.node, "left").select(F.col("fp"), F.coalesce("component", "cid").alias("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, internal_id, materialize, mix64, outer_id
+from .common import NO_ID, internal_id, materialize, mix64, outer_id, spread
 from .components import components
 from .simhash import Forest
 
@@ -95,45 +95,82 @@ def fit_centres(classes: DataFrame, count: int, fit: int = FIT, cell: int = CELL
     return spherical_k_means(np.array([np.frombuffer(r, dtype=np.float64) for r in rows]), max(1, min(MOST_CELLS, -(-count // cell))))
 
 
-def dealt(classes: DataFrame, centres: np.ndarray, threshold: float, blocks: int) -> DataFrame:
-    """cell, part, slot, home, cid, weight, unit: the rows of every block pair (cell, part, slot).
+def placed(unit: pa.Array, centres: np.ndarray, between: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each vector, and (row, cell) of the cells that it visits.
 
-    A cell's members are dealt to `blocks` parts by their hash, those at home and those that visit alike. A
-    pair of parts (p, q) with p <= q of the members meets once; every part of the visitors meets every part
-    of the members. A vector visits only cells after its own, as the pair would else be met twice.
+    The distance to the plane between two cells is the gap of the products over that of the centres. A
+    vector visits only cells after its own, as the pair would else be met twice.
     """
+    near = stacked(unit) @ centres.T
+    own = near.argmax(axis=1)
     sine = math.sqrt(max(0.0, 1 - threshold * threshold))
-    between = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    meets = (near[np.arange(len(own)), own][:, None] - near <= sine * between[own] + SLACK) & (np.arange(len(centres)) > own[:, None])
+    return own, *np.nonzero(meets)
+
+
+def distances(centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+
+
+def crowds(classes: DataFrame, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many vectors are at home in each cell and how many visit it."""
+    between = distances(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, seen = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                own, _, cell = placed(whole.slice(i, 2048).column("unit"), centres, between, threshold)
+                home += np.bincount(own, minlength=len(centres))
+                seen += np.bincount(cell, minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres), dtype=np.int32)), pa.array(home), pa.array(seen)], names=["cell", "home", "seen"])
+
+    rows = classes.select("unit").mapInArrow(run, "cell int, home long, seen long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("seen").alias("seen")).collect()
+    home, seen = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+    for r in rows:
+        home[r["cell"]], seen[r["cell"]] = r["home"], r["seen"]
+    return home, seen
+
+
+def dealt(classes: DataFrame, centres: np.ndarray, threshold: float, home: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """cell, part, slot, side, cid, copies, unit: the rows of every block pair (cell, part, slot).
+
+    A cell's members and its visitors are dealt to parts of about BLOCK rows by their hash. A pair of parts
+    of the members meets once (side 0 and 1, or 2 within a part); every part of the visitors (side 1, slots
+    from 0) meets every part of the members.
+    """
+    between, block = distances(centres), BLOCK
+    members, visitors = (np.maximum(1, -(-n // block)) for n in (home, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 batch = whole.slice(i, 2048)
-                near = stacked(batch.column("unit")) @ centres.T
-                own = near.argmax(axis=1)
-                every = np.arange(len(own))
-                # The distance to the plane between two cells is the gap of the products over that of the centres.
-                meets = (near[every, own][:, None] - near <= sine * between[own] + SLACK) & (np.arange(len(centres)) > own[:, None])
-                part = (mix64(batch.column("cid").to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-                row, cell = np.nonzero(meets)
-                # (row, cell, member part, visitor part or member part + blocks, side)
-                sides = [
-                    (every, own, part, part + blocks, 2),
-                    *((every[part < q], own[part < q], part[part < q], np.full((part < q).sum(), q + blocks), 0) for q in range(1, blocks)),
-                    *((every[part > p], own[part > p], np.full((part > p).sum(), p), part[part > p] + blocks, 1) for p in range(blocks - 1)),
-                    *((every, own, part, np.full(len(own), q), 0) for q in range(blocks)),
-                    *((row, cell, np.full(len(row), p), part[row], 1) for p in range(blocks)),
-                ]
-                for at, where, p, q, side in sides:
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(where.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(np.full(len(at), side, np.int32)), *(batch.column(c).take(pa.array(at)) for c in ("cid", "copies", "unit"))],
-                            names=["cell", "part", "slot", "side", "cid", "copies", "unit"],
-                        )
+                own, row, cell = placed(batch.column("unit"), centres, between, threshold)
+                draw = mix64(batch.column("cid").to_numpy().view(np.uint64))
+                part = (draw % members[own].astype(np.uint64)).astype(np.int64)
+                # A member goes to its own part, to the pairs with each part after and before it, and to all visitors.
+                me, q = spread(members[own])
+                slots = visitors[own[me]]
+                yield from block_rows(batch, me, own[me], np.minimum(part[me], q), slots + np.maximum(part[me], q), np.where(part[me] == q, 2, (part[me] > q).astype(np.int64)))
+                some = np.flatnonzero(seen[own] > 0)
+                me, q = spread(visitors[own[some]])
+                me = some[me]
+                yield from block_rows(batch, me, own[me], part[me], q, np.zeros(len(me), np.int64))
+                me, p = spread(members[cell])
+                slot = (draw[row] % visitors[cell].astype(np.uint64)).astype(np.int64)
+                yield from block_rows(batch, row[me], cell[me], p, slot[me], np.ones(len(me), np.int64))
 
     return classes.mapInArrow(run, "cell int, part int, slot int, side int, cid long, copies long, unit binary")
 
 
+def block_rows(batch: pa.RecordBatch, at: np.ndarray, *keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows `at` of the batch under (cell, part, slot, side), some at a time."""
+    for i in range(0, len(at), 4096):
+        which = pa.array(at[i : i + 4096])
+        yield pa.RecordBatch.from_arrays([*(pa.array(k[i : i + 4096].astype(np.int32)) for k in keys), *(batch.column(c).take(which) for c in ("cid", "copies", "unit"))], names=["cell", "part", "slot", "side", "cid", "copies", "unit"])
+
+
 def meet(block: pa.Table, threshold: float) -> pa.Table:
     """For a block pair: links to other vectors of each class, and links that span what it joins."""
     side = block.column("side").to_numpy()
@@ -177,8 +214,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_: str = "v
     centres = fit_centres(classes, count)
     if centres is None:
         return units.select(outer_id("vec_id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), outer_id("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = max(1, -(-count // (len(centres) * BLOCK)))
-    pairs = dealt(classes, centres, threshold, blocks)
+    pairs = dealt(classes, centres, threshold, *crowds(classes, centres, threshold))
     met = materialize(pairs.groupBy("cell", "part", "slot").applyInArrow(lambda t: meet(t, threshold), "cid long, links long, other long"))
     joined = components(met.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     links = met.filter("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
