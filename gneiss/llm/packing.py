@@ -108,18 +108,21 @@ def pack_round(pool: DataFrame, blocks: int, number: int, capacity: int, last: b
 def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """All pieces with sequence_id and offset; sequences hold at most `capacity` tokens without gaps before a piece.
 
-    No rows give no rows. Repeated rows are packed as often as they come. The rounds end: each pools only
-    what sequences with a larger gap hold, in fewer blocks than the one before.
+    No rows give no rows. Repeated rows are packed as often as they come. Each round pools what sequences
+    with a larger gap hold, in at most half as many blocks as the one before; a block has about `block` pieces.
     """
     pool, out, number = materialize(parts), [], 0
-    blocks = max(1, -(-pool.count() // block))
+    blocks, last = max(1, -(-pool.count() // block)), False
     while True:
-        placed = materialize(pack_round(pool, blocks, number, capacity, blocks == 1))
+        last = last or blocks == 1
+        placed = materialize(pack_round(pool, blocks, number, capacity, last))
         out.append(placed.filter("done"))
-        if blocks == 1:
+        if last:
             break
         pool = placed.filter("not done")
-        number, blocks = number + 1, min(-(-pool.count() // block), -(-blocks // 2)) or 1
+        # Where a round closes less than half, as of pieces that are all longer than half a sequence, the next is the last.
+        before, blocks, number = blocks, max(1, -(-pool.count() // block)), number + 1
+        last = 2 * blocks > before
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
