@@ -16,7 +16,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The profiles are learned from the documents' own labels. Rows come back as they were.
     """
     profiles = language.learn(docs)
-    found = language.identify(docs, profiles, keep=tuple(c for c in docs.columns if c != "text") + ("text",))
+    found = language.identify(docs, profiles, keep=tuple(docs.columns))
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 

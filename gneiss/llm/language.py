@@ -141,14 +141,16 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str,
     score is one minus the smallest distance's share of the longest. A text that is null or has no letter is
     `und` with score 0, as is any text where no language was learned. Ties go to the first language by name.
     """
-    source = docs.select(*keep, docs["text"].alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    # The text travels once, whether it is kept or not.
+    given = "text" if "text" in keep else "__text"
+    source = docs.select(*keep) if given == "text" else docs.select(*keep, docs["text"].alias(given))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
     ranks = Ranks(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "__text", 1 << 20):
-                keys, starts = grams(batch.column("__text"))
+            for batch in by_bytes(whole, given, 1 << 20):
+                keys, starts = grams(batch.column(given))
                 langs, scores = [], []
                 for i in range(batch.num_rows):
                     if starts[i] == starts[i + 1] or not ranks.langs:
@@ -159,6 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str,
                         best = int(apart.argmin())
                         langs.append(ranks.langs[best])
                         scores.append(float(1 - apart[best]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                kept = [batch.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
