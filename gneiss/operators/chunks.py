@@ -96,6 +96,11 @@ def module_tags(files: DataFrame, roots: DataFrame, key: str = "file_path", unkn
     return files.join(best, files[key] == best["__key"], "left").drop("__key").withColumn("module", F.coalesce("module", F.lit(unknown)))
 
 
+def files_by_module(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """module, files (sorted) of files(file_path) below the roots."""
+    return module_tags(files.select("file_path").distinct(), roots).groupBy("module").agg(F.array_sort(F.collect_set("file_path")).alias("files"))
+
+
 def build(symbols: DataFrame, edges: DataFrame, roots: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """id, text, metadata, file, module of every symbol, or of those in files(path)."""
     from .graph import callers_and_callees

@@ -506,3 +506,35 @@ def lenient_int(spark, d):
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS path FROM pages")
 def path_relativise(spark, d):
     return read(spark, d, "pages").select("page_id", F.when(F.col("url").startswith("https://"), F.regexp_replace("url", "^https://", "")).otherwise(F.col("url")).alias("path"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s // 3600 > 0 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' END AS shown
+FROM (SELECT o_orderkey, greatest(o_orderkey * 7 - 500, 0) AS s FROM orders)""")
+def duration_format(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", text.duration(F.col("o_orderkey") * 7 - 500).alias("shown"))
+
+
+@query("SELECT p_partkey, CAST(floor(least(greatest(p_partkey - 10, 0), 1000) * 100 / 1000) AS INT) AS percent FROM part")
+def progress_percent(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.progress_percent(F.col("p_partkey") - 10, F.lit(1000)).alias("percent"))
+
+
+@query("SELECT p_partkey, replace(ltrim(replace(trim(':' || p_type || '.' || p_brand), '.', '/'), ':'), ':', '/') AS folder FROM part")
+def gradle_path(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.gradle_path(F.concat(F.lit(":"), "p_type", F.lit("."), "p_brand")).alias("folder"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_type || '/' || p_name, '[^a-zA-Z0-9_-]', '-', 'g') AS label FROM part")
+def snapshot_label_safe(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.safe_label(F.concat("p_type", F.lit("/"), "p_name")).alias("label"))
+
+
+@query("SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE event_type END), ''), nullif(trim(props), ''), 'none') AS setting FROM events")
+def setting_first_given(spark, d):
+    first = F.when(F.col("event_id") % 2 == 0, " ").otherwise(F.col("event_type"))
+    return read(spark, d, "events").select("event_id", text.first_given(first, F.col("props"), F.lit("none")).alias("setting"))
+
+
+@query("SELECT p_partkey, '\"' || replace(p_name || '\"' || p_brand, '\"', '\"\"') || '\"' AS name FROM part")
+def identifier_quoting(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.quoted(F.concat("p_name", F.lit('"'), "p_brand")).alias("name"))

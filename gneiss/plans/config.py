@@ -7,7 +7,7 @@ import os
 from dataclasses import asdict, dataclass, fields, replace
 
 DEFAULTS = {"db": "parquet", "embedding": "local", "db_timeout_seconds": 300}
-BACKENDS = ("parquet", "jdbc")
+BACKENDS = ("parquet",)
 FILE = "config.json"
 
 
@@ -54,6 +54,4 @@ def merge(state_dir: str, asked: Config) -> Config:
     if found["db"].lower() not in BACKENDS:
         raise ValueError(f"unsupported db: {found['db']}")
     config = Config(**found)
-    if config.db.lower() == "parquet":
-        config = replace(config, db_file=os.path.abspath(config.db_file or os.path.join(state_dir, "store")))
-    return config
+    return replace(config, db_file=os.path.abspath(config.db_file or os.path.join(state_dir, "store")))

@@ -1,7 +1,7 @@
 """The vector store of a workspace: full index, incremental sync, search.
 
 A store is a folder of versions; a change writes a new version and then moves the pointer, so readers see
-the old rows or the new ones. JDBC stores are read through Spark's own connector.
+the old rows or the new ones. Rows of a database are loaded through Spark's own connector.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.embedding import embedder
+from gneiss.functions.vectors import decoded
 from gneiss.operators import checksums, chunks, store
 from gneiss.plans.project import Project, build
 from gneiss.sources import files
@@ -58,6 +59,21 @@ class Store:
         """Upsert by id."""
         return self.replace(store.upsert(self.rows().withColumn("seq", F.lit(0)), rows.withColumn("seq", F.lit(0))))
 
+    def add_all(self, ids: list[str], vectors: list[list[float]], texts: list[str], metadata: list[dict] | None = None) -> int:
+        """Upsert rows that the caller embedded; the lists must be of one length."""
+        metadata = metadata if metadata is not None else [{}] * len(ids)
+        if not len(ids) == len(vectors) == len(texts) == len(metadata):
+            raise ValueError("ids, vectors, texts and metadata differ in length")
+        rows = [(i, list(map(float, v)), t, json.dumps(m), m.get("file", ""), m.get("module")) for i, v, t, m in zip(ids, vectors, texts, metadata, strict=True)]
+        return self.add(self.spark.createDataFrame(rows, ROW))
+
+    def load_jdbc(self, url: str, table: str, **options: str) -> int:
+        """Upsert the rows of a database table (id, vector as bytes, content, metadata as JSON text)."""
+        saved = self.spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+        value = store.metadata_value
+        rows = saved.select("id", decoded("vector").alias("vector"), "content", "metadata", F.coalesce(value(F.col("metadata"), "file"), F.lit("")).alias("file"), value(F.col("metadata"), "module").alias("module"))
+        return self.add(rows)
+
     def remove_ids(self, ids: DataFrame) -> int:
         return self.replace(store.delete_ids(self.rows(), ids))
 

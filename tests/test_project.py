@@ -127,6 +127,30 @@ def test_scalar_functions(spark):
     assert one(spark, text.gradle_path(lit(":services:pay.ments"))) == "services/pay/ments"
 
 
+def test_store_rows_from_the_caller(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gneiss.functions import vectors
+
+    target = index.Store(spark, str(tmp_path), "c")
+    assert target.add_all(["a", "b"], [[1, 0], [0, 1]], ["A", "B"], [{"file": "F", "module": "m"}, {}]) == 2
+    assert target.add_all(["b"], [[1, 1]], ["B2"]) == 2
+    assert {r["id"]: (r["content"], list(r["vector"])) for r in target.rows().collect()} == {"a": ("A", [1.0, 0.0]), "b": ("B2", [1.0, 1.0])}
+    assert target.remove_ids(spark.createDataFrame([("a",)], "id string")) == 1
+    with pytest.raises(ValueError, match="length"):
+        target.add_all(["a"], [], [])
+    assert list(one(spark, vectors.decoded(vectors.encoded(F.array(F.lit(0.5), F.lit(-2.0)))))) == [0.5, -2.0]
+    for bad in (b"", b"abc"):
+        with pytest.raises(ValueError, match="bytes"):
+            vectors.from_bytes(bad)
+
+
+def test_files_by_module(spark):
+    files = spark.createDataFrame([("a/x.java",), ("a/b/y.java",), ("ab/z.java",), (" ",)], "file_path string")
+    roots = spark.createDataFrame([("a", "one"), ("a/b", "two")], "root string, name string")
+    assert {r["module"]: r["files"] for r in chunks.files_by_module(files, roots).collect()} == {"one": ["a/x.java"], "two": ["a/b/y.java"], "unknown": [" ", "ab/z.java"]}
+
+
 def test_store_search_fixture(spark):
     rows = spark.createDataFrame([("apple", [1.0, 0.0, 0.0], '{"module":"m1"}'), ("banana", [0.0, 1.0, 0.0], '{"module":"m2","file":"Banana.java"}')], "id string, vector array<float>, metadata string")
     query = [0.98, 0.05, 0.0]

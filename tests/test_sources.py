@@ -151,8 +151,9 @@ def test_layouts(tmp_path):
 def test_settings_precedence(tmp_path):
     state = str(tmp_path)
     assert config.merge(state, config.Config()).db_timeout_seconds == 300
-    config.save(state, config.Config(db="jdbc", embedding="x", db_timeout_seconds=7))
-    assert config.merge(state, config.Config()).db == "jdbc"
+    config.save(state, config.Config(embedding="x", db_timeout_seconds=7, db_file="/there/store"))
+    assert config.merge(state, config.Config(db_file="  ")).db_file == "/there/store"
+    assert config.merge(state, config.Config(db_file="/x")).db_file == "/x"
     merged = config.merge(state, config.Config(db=" parquet ", db_timeout_seconds=-1))
     assert (merged.db, merged.embedding, merged.db_timeout_seconds) == ("parquet", "x", 1)
     with pytest.raises(ValueError, match="unsupported"):
