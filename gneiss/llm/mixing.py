@@ -17,6 +17,8 @@ from .common import WORD_PATTERN, materialize
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BINS = 1024
+#: Sources up to which their table is sent to all tasks; with more it is joined by source, and adaptive execution splits a hot one.
+FEW_SOURCES = 50_000
 
 
 def size_of(text: str) -> Column:
@@ -54,9 +56,9 @@ def random_odds(seed: int) -> Column:
     return u / (1 - u)
 
 
-def with_plan(df: DataFrame, other: DataFrame) -> DataFrame:
-    """df with the columns that a small table holds for each __source."""
-    return df.join(other, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+def with_plan(df: DataFrame, other: DataFrame, few: bool) -> DataFrame:
+    """df with the columns that a table holds for each __source; the table is sent to all tasks if sources are few."""
+    return df.join(F.broadcast(other) if few else other, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
 def ranked(rows: DataFrame, seed: int) -> DataFrame:
@@ -91,21 +93,22 @@ def off() -> Column:
 def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = 17) -> DataFrame:
     """One row for each source: its size, target, whole copies, and where its sample ends."""
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    few = plan.count() <= FEW_SOURCES
     some = F.col("source_size") > 0
     plan = plan.withColumn("whole", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = plan.withColumn("p", F.when(some, F.col("need") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "__source")
-    every = ranked(with_plan(rows, plan.select("__source", "p", "need")), seed)
+    every = ranked(with_plan(rows, plan.select("__source", "p", "need"), few), seed)
     first = crossing(every, "__bin")
-    inside = with_plan(every.drop("need"), first).filter("__bin = at__bin")
+    inside = with_plan(every.drop("need"), first, few).filter("__bin = at__bin")
     second = crossing(inside, "__sub")
     edges = first.drop("need").join(second.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    within = with_plan(every.drop("need"), edges).filter("__bin = at__bin and __sub = at__sub")
+    within = with_plan(every.drop("need"), edges, few).filter("__bin = at__bin and __sub = at__sub")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("__rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     fits = F.col("__run") <= F.col("need")
     stop = within.withColumn("__run", run).groupBy("source").agg(F.max(F.when(fits, F.struct("__rank", "doc_id", "size"))).alias("last"), (F.first("need") - F.coalesce(F.max(F.when(fits, F.col("__run"))), F.lit(0))).alias("gap"))
-    stop = with_plan(materialize(stop), edges.drop("need")).withColumnRenamed("source", "__source")
+    stop = materialize(with_plan(stop, edges.drop("need"), few)).withColumnRenamed("source", "__source")
     # The document beyond the cut whose size comes nearest to what is still missing, if nearer than none.
-    beyond = chosen(with_plan(every.drop("need"), stop)).filter(~F.col("__in") & (off() < F.col("gap")))
+    beyond = chosen(with_plan(every.drop("need"), stop, few)).filter(~F.col("__in") & (off() < F.col("gap")))
     closing = materialize(beyond.groupBy("source").agg(F.min(F.struct(off().alias("off"), "__rank", "doc_id")).alias("closing"))).withColumnRenamed("source", "__s")
     joined = plan.drop("need").join(stop.withColumnRenamed("__source", "__t"), F.col("__source").eqNullSafe(F.col("__t")), "left").drop("__t")
     return materialize(joined.join(closing, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s"))
@@ -113,7 +116,7 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def apply_mix(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """Adds source_size, target, copies and taken = copies * size to rows with doc_id, source and size."""
-    found = chosen(ranked(with_plan(rows, plan), seed))
+    found = chosen(ranked(with_plan(rows, plan, plan.count() <= FEW_SOURCES), seed))
     closes = (F.col("closing.__rank") == F.col("__rank")) & F.col("closing.doc_id").eqNullSafe(F.col("doc_id")) & (off() == F.col("closing.off")) & ~F.col("__in")
     found = found.withColumn("copies", F.col("whole") + (F.col("__in") | F.coalesce(closes, F.lit(False))).cast("long"))
     return found.withColumn("taken", F.col("copies") * F.col("size")).select(*rows.columns, "source_size", "target", "copies", "taken")
