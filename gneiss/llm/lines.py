@@ -17,13 +17,14 @@ RUN = 2
 
 
 def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc, text_key, start, fp, run_key: every window of `run` lines, its fingerprint and the digest of its lines."""
+    """doc, text_key, start, fp, at, run_key: every window of `run` lines, its fingerprint and where that lies, and the digest of its lines."""
     source = docs.select(internal_id("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("t")).filter(F.contains("t", F.lit("\n")))
     digests = source.select("doc", F.xxhash64("t").alias("text_key"), F.transform(F.split("t", "\n", -1), lambda line: F.md5(line)).alias("lines")).filter(F.size("lines") >= run)
 
     def window(start):
         lines = F.slice("lines", start + 1, run)
-        return F.struct(start.alias("start"), F.array_min(F.transform(lines, lambda line: F.xxhash64(line))).alias("fp"), F.md5(F.concat_ws("", lines)).alias("run_key"))
+        least = F.array_min(F.transform(lines, lambda line, i: F.struct(F.xxhash64(line).alias("fp"), (-i).alias("back"))))
+        return F.struct(start.alias("start"), least["fp"].alias("fp"), (start - least["back"]).alias("at"), F.md5(F.concat_ws("", lines)).alias("run_key"))
 
     starts = F.sequence(F.lit(0), F.size("lines") - run)
     return digests.select("doc", "text_key", F.explode(F.transform(starts, window)).alias("w")).select("doc", "text_key", "w.*")
@@ -32,11 +33,14 @@ def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 def later_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc, text_key, starts: where windows begin whose lines also stand earlier (smaller doc_id, or further up)."""
     found = materialize(windows(docs, run))
-    # A fingerprint at one place counts once, whatever windows choose it; places differ where windows of different lines do.
-    shared = found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    # Fingerprints at more than one place, however many windows choose each. Written tables on both sides of a
+    # join let adaptive execution split a hot key.
+    parts = ("doc", "text_key", "at")
+    bounds = found.groupBy("fp").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in parts for f in (F.min, F.max)))
+    shared = materialize(bounds.filter(" or ".join(f"min_{c} <> max_{c}" for c in parts)).select("fp"))
     candidates = found.join(shared, "fp", "left_semi")
     place = F.struct("doc", "text_key", "start")
-    first = candidates.groupBy("run_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run_key", "first")
+    first = materialize(candidates.groupBy("run_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run_key", "first"))
     later = candidates.join(first, "run_key").filter(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
     return later.groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
 
