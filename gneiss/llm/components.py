@@ -12,17 +12,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node that links (a, b) name: the smallest node reachable from it.
 
     Links may repeat, go either way and join a node to itself; nodes without a link to another are left
-    out. Each round joins the links with one minimum for each node, so a hub is a skewed join, which
-    adaptive execution splits, and never a list in one task. The rounds end when no link changes, after a
+    out. Each round joins the links with one minimum for each node, both written tables, so a hub is a skewed
+    join, which adaptive execution splits, and never a list in one task. The rounds end when no link changes, after a
     number that grows with the logarithm of a component's size.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small)

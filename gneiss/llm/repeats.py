@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,7 +294,7 @@ def extended(docs: DataFrame, still_open: DataFrame, shape: Shape, tokenize: Cal
                     continue
                 ids = batch.column("doc").to_numpy()
                 lists = batch.column("places")
-                count = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+                count = np.asarray(pc.list_value_length(lists)).astype(np.int64)
                 place = np.asarray(lists.flatten()).astype(np.int64)
                 at, lo, hi = unpack_place(place)
                 row = np.repeat(np.arange(len(ids)), count)
@@ -314,8 +315,6 @@ def extended(docs: DataFrame, still_open: DataFrame, shape: Shape, tokenize: Cal
                         part = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32).tobytes()), pa.py_buffer(data[ends[i] : ends[j]])])
                         yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(ids[row[some]][i:j]), pa.array(first[i:j]), pa.array((last - first + 1)[i:j].astype(np.int32)), part], names=["key", "doc", "start", "count", "data"])
 
-    import pyarrow.compute  # noqa: F401
-
     return joined.mapInArrow(run, "key long, doc long, start long, count int, data binary")
 
 
@@ -338,7 +337,7 @@ def crowded_step(filed: DataFrame, shape: Shape) -> DataFrame:
                 yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
 
     windows = filed.mapInArrow(run, "h1 long, h2 long, doc long, start long")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialize(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     late = windows.join(first, ["h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
     return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
 
@@ -407,13 +406,11 @@ def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable,
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 lists = batch.column("stretches")
-                count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
+                count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
                 both = np.asarray(lists.flatten()).astype(np.int64)
                 doc, start, end = merged(np.repeat(np.arange(batch.num_rows), count), both >> 32, both & 0xFFFFFFFF)
                 at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 stretches = [list(zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield finish(batch.column("doc"), batch.column("text"), stretches)
 
-    import pyarrow.compute  # noqa: F401
-
     return joined.mapInArrow(run, fields)

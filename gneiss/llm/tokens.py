@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, worker_state
@@ -159,15 +160,13 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
             for batch in by_bytes(whole, "__text"):
                 column = batch.column("__text")
                 texts = column.to_pylist()
-                n_bytes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+                n_bytes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
                 n_tokens = count_tokens(texts, path)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)],
                     names=[*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    import pyarrow.compute  # noqa: F401
-
     return source.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
 
 
