@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, text_buffer, worker_state
+from .common import by_bytes, materialize, text_buffer, worker_state
 
 #: n-grams of one to three characters fit 21 bits each into a 64-bit number.
 LONGEST = 3
@@ -22,6 +22,8 @@ PROFILE = 300
 #: Labelled documents that each language's profile is learned from, about; languages with fewer give all.
 SAMPLE = 4000
 UNKNOWN = "und"
+#: A row for each language goes to all tasks, and its profile to the driver.
+MOST_LANGUAGES = 10_000
 
 
 def folding() -> np.ndarray:
@@ -84,9 +86,11 @@ def frequent(keys: np.ndarray, most: int) -> np.ndarray:
 
 def labelled(docs: DataFrame, lang: str, sample: int) -> DataFrame:
     """About `sample` rows of each language, the same in every run: those whose hashed text and length fall below its share."""
-    counts = docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("__n")).withColumnRenamed(lang, "__lang")
+    counts = materialize(docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("__n")).withColumnRenamed(lang, "__lang"))
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages cannot be told apart")
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(counts, docs[lang] == counts["__lang"]).filter(draw * F.col("__n") < sample).select("__lang", "text")
+    return docs.join(F.broadcast(counts), docs[lang] == counts["__lang"]).filter(draw * F.col("__n") < sample).select("__lang", "text")
 
 
 def learn(training: DataFrame, lang: str = "lang", sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, np.ndarray]:
