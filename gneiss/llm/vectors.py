@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ THRESHOLD = 0.9
 #: Vectors that the centres are fitted on, about.
 FIT = 20_000
 #: Members that a cell should have, and vectors in a block.
-CELL = 4096
-BLOCK = 2048
+CELL = 8192
+BLOCK = 4096
 MOST_CELLS = 4096
 #: Slack for rounding where a plane's distance decides whether a cell is visited.
 SLACK = 1e-9
@@ -36,7 +37,7 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Null and empty vectors, those with null or non-finite components and those of length 0 cannot.
     """
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     usable = lengths > 0
     rows = []
     for i in np.flatnonzero(usable):
@@ -60,8 +61,6 @@ def normalised(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding
             found = iter(rows)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([next(found).tobytes() if u else None for u in usable], pa.binary())], names=["vec_id", "unit"])
 
-    import pyarrow.compute  # noqa: F401
-
     return source.mapInArrow(run, "vec_id long, unit binary")
 
 
