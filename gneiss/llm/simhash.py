@@ -93,7 +93,7 @@ def cells(prints: DataFrame, segment: int = SEGMENT_BITS) -> DataFrame:
     return prints.mapInArrow(run, "cell long, home boolean, fp long, cid long")
 
 
-def split_cells(grid: DataFrame, most: int = CELL_ROWS) -> DataFrame:
+def split_cells(grid: DataFrame, most: int = CELL_ROWS, columns: tuple[str, ...] = ("fp", "cid")) -> DataFrame:
     """The grid with cells of more than `most` rows taken apart into pairs of blocks, each a cell of its own.
 
     A cell's rows are dealt to blocks by their fingerprint. Two blocks of rows at home meet once, and every
@@ -113,8 +113,8 @@ def split_cells(grid: DataFrame, most: int = CELL_ROWS) -> DataFrame:
     for_visitors = F.transform(every, lambda q: pairs(own, blocks + q, F.lit(True)))
     visiting = F.transform(every, lambda p: pairs(p, blocks + own, F.lit(False)))
     parts = F.when(F.col("home"), F.concat(among_home, for_visitors)).otherwise(visiting)
-    crowded = grid.join(sizes, "cell").select("cell", "fp", "cid", F.explode(parts).alias("x")).select(F.xxhash64("cell", "x.p", "x.q").alias("cell"), F.col("x.home").alias("home"), "fp", "cid")
-    return grid.join(sizes, "cell", "left_anti").select("cell", "home", "fp", "cid").unionByName(crowded)
+    crowded = grid.join(sizes, "cell").select("cell", *columns, F.explode(parts).alias("x")).select(F.xxhash64("cell", "x.p", "x.q").alias("cell"), F.col("x.home").alias("home"), *columns)
+    return grid.join(sizes, "cell", "left_anti").select("cell", "home", *columns).unionByName(crowded)
 
 
 class Forest:
@@ -139,13 +139,13 @@ class Forest:
         return kept
 
 
-def linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of rows sorted by cell with those at home first."""
+def linked(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...] = ("fp",)) -> Iterator[pa.RecordBatch]:
+    """Spanning links of rows sorted by cell with those at home first, that differ in at most `most` bits of their words."""
     rest: list[pa.RecordBatch] = []
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         cell, home = table.column("cell").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
-        fp, cid = table.column("fp").to_numpy().view(np.uint64), table.column("cid").to_numpy()
+        prints, cid = [table.column(w).to_numpy().view(np.uint64) for w in words], table.column("cid").to_numpy()
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         ends = np.r_[starts[1:], len(cell)]
         at_home = np.add.reduceat(home.astype(np.int64), starts)
@@ -159,7 +159,7 @@ def linked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             row = np.repeat(np.arange(i, j), before[i:j])
             k = np.arange(len(row)) - np.repeat(np.cumsum(before[i:j]) - before[i:j], before[i:j])
             other = starts[group[row]] + k
-            near = np.bitwise_count(fp[row] ^ fp[other]) <= most
+            near = sum(np.bitwise_count(fp[row] ^ fp[other]) for fp in prints) <= most
             kept += forest.spanning(cid[row[near]], cid[other[near]])
             i = j
         a, b = zip(*kept, strict=True) if kept else ((), ())
