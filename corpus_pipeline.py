@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that stand earlier; those of which nothing is left go."""
-    found = lines.deduplicated(docs).filter("__n_removed < __n_lines")
+    """Documents without the runs of lines, and the single lines of 50 words or more, that stand earlier; those of which nothing is left go."""
+    found = lines.deduplicated(docs, long=lines.LONG_WORDS).filter("__n_removed < __n_lines")
     return found.withColumn("text", F.col("__kept")).withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import internal_id, materialize
+from .common import WORD_PATTERN, internal_id, materialize
 
 RUN = 2
+#: Words from which a single line counts as a run where that is asked for.
+LONG_WORDS = 50
 
 
 def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -45,17 +47,36 @@ def later_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later.groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
 
 
-def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
+def long_lines(docs: DataFrame, words: int) -> DataFrame:
+    """doc, text_key, start, line_key: every line of at least `words` words and where it lies."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("start"), F.md5(line).alias("line_key"), F.regexp_count(line, F.lit(WORD_PATTERN)).alias("n")))
+    return docs.select(internal_id("doc_id").alias("doc"), F.xxhash64(text).alias("text_key"), F.explode(F.filter(lines, lambda x: x["n"] >= words)).alias("x")).select("doc", "text_key", "x.start", "x.line_key")
+
+
+def later_lines(docs: DataFrame, words: int) -> DataFrame:
+    """doc, text_key, singles: lines of at least `words` words that also stand earlier."""
+    found = materialize(long_lines(docs, words))
+    place = F.struct("doc", "text_key", "start")
+    first = materialize(found.groupBy("line_key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("line_key", "first"))
+    return found.join(first, "line_key").filter(place > F.col("first")).groupBy("doc", "text_key").agg(F.collect_set("start").alias("singles"))
+
+
+def deduplicated(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
     """docs with __kept (the text without its later runs), __n_lines and __n_removed.
 
     A line is removed if it lies in a window of `run` lines that also starts earlier; windows are judged on
     the input. Lines are compared as they are. A null text stays null and, like an empty one, has one line.
-    A text of fewer lines keeps them all. Repeated rows stand at one place, so neither is later.
+    A text of fewer lines keeps them all. Repeated rows stand at one place, so neither is later. With `long`,
+    a line of at least that many words is removed too if it stands earlier, whatever lies around it.
     """
-    found = later_windows(docs, run).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), "starts")
+    found = later_windows(docs, run).withColumn("covered", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))))
+    if long:
+        found = found.join(later_lines(docs, long), ["doc", "text_key"], "full").withColumn("covered", F.array_union(F.coalesce("covered", F.array().cast("array<int>")), F.coalesce("singles", F.array().cast("array<int>"))))
+    found = found.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), F.col("covered").alias("__covered"))
     joined = docs.join(found, (internal_id("doc_id") == F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_key")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
+    covered = F.col("__covered")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.element_at(lines, i + 1)), "\n")
-    some = F.col("starts").isNotNull()
+    some = F.col("__covered").isNotNull()
     return joined.select(*docs.columns, F.when(some, kept).otherwise(F.col("text")).alias("__kept"), F.size(lines).cast("long").alias("__n_lines"), F.when(some, F.size(covered)).otherwise(0).cast("long").alias("__n_removed"))
