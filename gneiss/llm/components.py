@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now

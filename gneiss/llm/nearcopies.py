@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, by_bytes, internal_id, materialize, mix64
 from .components import components
 from .minhash import shingle_hashes, word_hashes
-from .simhash import Forest, linked, split_cells
+from .simhash import Forest, linked, split_cells, without
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -164,17 +164,6 @@ def near_copies(docs: DataFrame, least: float = LIKENESS, width: int = SHINGLE)
 
 def keep_first(docs: DataFrame, least: float = LIKENESS, width: int = SHINGLE) -> DataFrame:
     """The rows of docs that stand at the first place of their component; of equal texts without an id one row."""
-    return at_first(docs, near_copies(docs, least, width))
-
-
-def at_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose place is the first in found (doc, text_key, first); of equal texts without an id one row."""
-    found = materialize(found)
-    gone = found.filter(F.struct("doc", "text_key") != F.col("first")).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key")).distinct()
-    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(gone, (internal_id("doc_id") == F.col("__doc")) & (text_key == F.col("__text_key")), "left_anti")
-    if found.filter(F.col("doc") == NO_ID).groupBy("text_key").count().filter("count > 1").isEmpty():
-        return kept
-    kept = materialize(kept.withColumn("__text_key", text_key))
-    unnamed = kept.filter("doc_id is null").dropDuplicates(["__text_key"])
-    return kept.filter("doc_id is not null").unionByName(unnamed).drop("__text_key")
+    found = materialize(near_copies(docs, least, width))
+    gone = found.filter(F.struct("doc", "text_key") != F.col("first")).select("doc", "text_key")
+    return without(docs, gone, found.filter(F.col("doc") == NO_ID).select("text_key"))

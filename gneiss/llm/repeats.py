@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, internal_id, materialize, mix64, spread, text_buffer
+from .common import NO_ID, by_bytes, materialize, mix64, spread, text_buffer
 
 #: Low bits of a sort key that hold a position; a chunk of tokens is shorter than 2 ** POSITION.
 POSITION = 24
@@ -382,13 +382,32 @@ def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, i
         i = j
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """id (null where doc_id is), doc, text: doc orders rows by id; texts without an id come last, each a place of its own by its hash."""
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = rows_.agg(F.max("id").alias("top"), F.count_if(F.col("id").isNull()).alias("unnamed")).first()
+    if not known["unnamed"]:
+        return rows_.select("id", F.col("id").alias("doc"), "text")
+    top = known["top"] if known["top"] is not None else -1
+    if top > NO_ID - (1 << 61):
+        # No room above the ids: they are numbered in their order.
+        ids = rows_.select("id").filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        rows_ = rows_.join(materialize(ids.withColumn("number", F.monotonically_increasing_id())), "id", "left")
+        number, top = F.col("number"), 1 << 60
+    else:
+        number = F.col("id")
+    unnamed = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(min(NO_ID, NO_ID - top)))
+    return rows_.select("id", F.coalesce(number, unnamed).alias("doc"), "text")
+
+
 def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable, finish: Callable, fields: str) -> DataFrame:
     """finish(texts, stretches) of all rows of docs, where stretches list what windows with earlier equals cover.
 
     docs has doc_id and text; both may be null. Rows that repeat a doc_id stand at one place, so neither is
-    later than the other; they should repeat the text too. Equal windows are found in any number of documents.
+    later than the other; they should repeat the text too, while rows without an id stand apart by their texts. Equal windows are found in any number of documents.
     """
-    source = docs.select(internal_id("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    named = identified(docs)
+    source = named.select("doc", "text")
     hot = frequent_seeds(source, shape, tokenize)
     first = materialize(settle(scan(source, shape, tokenize, hot), shape))
     filed = materialize(extended(source, first.filter("end is null").select("doc", "start"), shape, tokenize))
@@ -400,7 +419,7 @@ def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable,
         covered = covered.unionByName(materialize(last_step(filed.join(crowded, "key", "left_anti"), shape, order)))
         covered = covered.unionByName(materialize(crowded_step(filed.join(crowded, "key", "left_semi"), shape)))
     listed = covered.groupBy("doc").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("stretches"))
-    joined = source.join(listed, "doc", "left")
+    joined = named.join(listed, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -411,6 +430,6 @@ def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable,
                 doc, start, end = merged(np.repeat(np.arange(batch.num_rows), count), both >> 32, both & 0xFFFFFFFF)
                 at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 stretches = [list(zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield finish(batch.column("doc"), batch.column("text"), stretches)
+                yield finish(batch.column("id"), batch.column("text"), stretches)
 
     return joined.mapInArrow(run, fields)

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, internal_id, materialize, outer_id
+from .common import NO_ID, by_bytes, internal_id, materialize, outer_id
 from .components import components
 
 MOST_BITS = 3
@@ -54,18 +54,23 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id (internal), fp: the 64-bit fingerprint of every row's whole text, A-Z lowered; a null text is empty."""
-    source = docs.select(internal_id("doc_id").alias("doc_id"), docs["text"].alias("__text"))
+def fingerprints(docs: DataFrame, width: int = SHINGLE, text_key: Column | None = None) -> DataFrame:
+    """doc_id (internal), fp: the 64-bit fingerprint of every row's whole text, A-Z lowered; a null text is empty.
+
+    With text_key, a column of that name too.
+    """
+    more = [] if text_key is None else [text_key.alias("text_key")]
+    source = docs.select(internal_id("doc_id").alias("doc_id"), docs["text"].alias("__text"), *more)
+    names = ["doc_id", *(["text_key"] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "__text"):
                 texts = batch.column("__text").cast(pa.binary()).to_pylist()
                 found = [fingerprint(t.lower().split(), width) if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*names, "fp"])
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def cells(prints: DataFrame, segment: int = SEGMENT_BITS) -> DataFrame:
@@ -189,15 +194,43 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
     if most > MOST_BITS:
         raise ValueError("the grid finds pairs of at most 3 differing bits")
     prints = materialize(fingerprints(docs, width))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("cid")))
-    grid = split_cells(cells(classes)).repartition("cell").sortWithinPartitions("cell", F.col("home").desc(), "cid")
-    links = grid.mapInArrow(lambda batches: linked(batches, most), "a long, b long")
-    joined = components(links)
-    named = classes.join(joined, classes.cid == joined.node, "left").select(F.col("fp"), F.coalesce("component", "cid").alias("component_id"))
+    named = components_of(prints, most)
     return prints.join(named, "fp").select(outer_id("doc_id").alias("doc_id"), "fp", outer_id("component_id").alias("component_id"))
 
 
+def components_of(prints: DataFrame, most: int) -> DataFrame:
+    """fp, node, component_id: a node of the fingerprint's component and the smallest doc_id there.
+
+    Fingerprints are the nodes, as rows without an id have none to tell them apart.
+    """
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cid", F.col("fp")))
+    grid = split_cells(cells(classes.select("fp", "cid"))).repartition("cell").sortWithinPartitions("cell", F.col("home").desc(), "cid")
+    joined = components(grid.mapInArrow(lambda batches: linked(batches, most), "a long, b long"))
+    named = materialize(classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("node")))
+    return named.join(named.groupBy("node").agg(F.min("least").alias("component_id")), "node").select("fp", "node", "component_id")
+
+
 def keep_one(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs without those whose doc_id is not the smallest of its component."""
-    gone = near_duplicates(docs, most, width).filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs whose doc_id is the smallest of its component; one row of a component without ids."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = materialize(fingerprints(docs.select("doc_id", "text"), width, text_key))
+    found = prints.join(components_of(prints, most), "fp")
+    place = F.struct("doc_id", "text_key")
+    first = found.groupBy("node").agg(F.min(place).alias("first"))
+    # Rows that repeat the smallest doc_id stay.
+    gone = found.join(first, "node").filter((F.col("doc_id") != F.col("first.doc_id")) | ((F.col("doc_id") == NO_ID) & (F.col("text_key") != F.col("first.text_key"))))
+    return without(docs, gone.select(F.col("doc_id").alias("doc"), "text_key"), prints.filter(F.col("doc_id") == NO_ID).select("text_key"))
+
+
+def without(docs: DataFrame, gone: DataFrame, unnamed: DataFrame) -> DataFrame:
+    """The rows of docs that stand at no place (doc, text_key) of gone; of equal texts without an id one row.
+
+    unnamed has the text_key of every row without an id.
+    """
+    places = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key")).distinct()
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(places, (internal_id("doc_id") == F.col("__doc")) & (text_key == F.col("__text_key")), "left_anti")
+    if unnamed.groupBy("text_key").count().filter("count > 1").isEmpty():
+        return kept
+    kept = materialize(kept.withColumn("__text_key", text_key))
+    return kept.filter("doc_id is not null").unionByName(kept.filter("doc_id is null").dropDuplicates(["__text_key"])).drop("__text_key")

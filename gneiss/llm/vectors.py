@@ -206,9 +206,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_: str = "v
     copies cost one row and are counted, not paired. A null vec_id counts as larger than any other.
     """
     units = materialize(normalised(vectors, id_, vector))
-    classes = units.filter("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
-    width = classes.agg(F.min(F.struct("cid", F.length("unit").alias("w")))["w"].alias("w"), F.count("*").alias("n")).first()
-    classes = materialize(classes.filter(F.length("unit") == (width["w"] or 0)))
+    classes = units.filter("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    width = classes.agg(F.min(F.struct("least", F.length("unit").alias("w")))["w"].alias("w"), F.count("*").alias("n")).first()
+    # Classes are numbered, as vectors without an id have none to tell them apart.
+    classes = materialize(classes.filter(F.length("unit") == (width["w"] or 0)).withColumn("cid", F.monotonically_increasing_id()))
     count = classes.count()
     centres = fit_centres(classes, count)
     if centres is None:
@@ -217,7 +218,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_: str = "v
     met = materialize(pairs.groupBy("cell", "part", "slot").applyInArrow(lambda t: meet(t, threshold), "cid long, links long, other long"))
     joined = components(met.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     links = met.filter("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
-    named = classes.join(joined, classes.cid == joined.node, "left").join(links, "cid", "left").select("unit", F.coalesce("component", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    named = materialize(classes.join(joined, classes.cid == joined.node, "left").join(links, "cid", "left").select("unit", "least", F.coalesce("component", "cid").alias("node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    named = named.join(named.groupBy("node").agg(F.min("least").alias("component")), "node").select("unit", "component", "n")
     found = units.join(named, "unit", "left")
     component = F.coalesce("component", "vec_id")
     return found.select(outer_id("vec_id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(component != NO_ID, component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
