@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -26,18 +27,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a session on this machine alone may name none; it gets a temporary folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = named.get() if named.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = worker_state().setdefault("shared_dir", "file://" + tempfile.mkdtemp(prefix="gneiss-"))
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, so that its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/gneiss-{uuid.uuid4().hex}"
+    """Write df as Parquet into the shared folder and read it back, so that its lineage ends there.
+
+    Inside scratch() the table is deleted at its end unless keep() saves it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gneiss-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    open_scopes = worker_state().setdefault("scopes", [])
+    if open_scopes:
+        open_scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._gneiss_path = path
+    return found
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written inside but for those that keep() hands on."""
+    open_scopes = worker_state().setdefault("scopes", [])
+    mine: list[str] = []
+    open_scopes.append(mine)
+    try:
+        yield
+    finally:
+        open_scopes.pop()
+        discard(spark, mine)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table of materialize() that outlives the scratch() it was written in."""
+    open_scopes = worker_state()["scopes"]
+    open_scopes[-1].remove(df._gneiss_path)
+    if len(open_scopes) > 1:
+        open_scopes[-2].append(df._gneiss_path)
+    return df
 
 
 def internal_id(name: str) -> Column:

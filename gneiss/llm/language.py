@@ -19,11 +19,11 @@ from .common import by_bytes, materialize, text_buffer, worker_state
 #: n-grams of one to three characters fit 21 bits each into a 64-bit number.
 LONGEST = 3
 PROFILE = 300
-#: Labelled documents that each language's profile is learned from, about; languages with fewer give all.
+#: Different labelled texts that each language's profile is learned from, about; languages with fewer give all.
 SAMPLE = 4000
+#: Bytes from which a text is taken apart, so that memory does not grow with its length.
+LONG_TEXT = 1 << 21
 UNKNOWN = "und"
-#: A row for each language goes to all tasks, and its profile to the driver.
-MOST_LANGUAGES = 10_000
 
 
 def folding() -> np.ndarray:
@@ -51,9 +51,19 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # The space before a text is also the one after the text before it.
     low = np.insert(folding()[codes], starts, 0)
     text = np.r_[np.repeat(np.arange(len(column)), np.diff(starts) + 1), len(column)]
-    keep = np.r_[True, (low[1:] != 0) | (low[:-1] != 0)] | np.r_[True, text[1:] != text[:-1]]
-    low, text = low[keep].astype(np.uint64), text[keep]
+    some = np.r_[True, (low[1:] != 0) | (low[:-1] != 0)] | np.r_[True, text[1:] != text[:-1]]
+    low, text = low[some].astype(np.uint64), text[some]
     found, of = [], []
+    for key, inside in windows(low):
+        found.append(key[inside])
+        of.append(text[: len(key)][inside])
+    key, text = np.concatenate(found), np.concatenate(of)
+    order = np.argsort(text, kind="stable")
+    return key[order], np.searchsorted(text[order], np.arange(len(column) + 1))
+
+
+def windows(low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length the number of the gram at every place of folded characters, and whether it counts."""
     for n in range(1, LONGEST + 1):
         size = max(0, len(low) - n + 1)
         key, letters = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int8)
@@ -64,51 +74,100 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inside = letters >= max(1, 3 * (n - 2))
         if n > 2:
             inside &= letters > 0
-        found.append(key[inside])
-        of.append(text[:size][inside])
-    key, text = np.concatenate(found), np.concatenate(of)
-    order = np.argsort(text, kind="stable")
-    return key[order], np.searchsorted(text[order], np.arange(len(column) + 1))
-
-
-def frequent(keys: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent numbers in order of frequency, ties by number."""
-    keys = np.sort(keys)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    counts = np.diff(np.r_[starts, len(keys)])
-    if len(starts) > most:
+        yield key, inside
+
+
+def counted(data: memoryview, step: int = LONG_TEXT) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of one text's UTF-8 bytes and how often each comes, `step` bytes at a time."""
+    values, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    tail, at = np.zeros(1, np.uint64), 0
+    while at <= len(data):
+        end = min(len(data), at + step)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        codes = np.frombuffer(bytes(data[at:end]).decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        last = end == len(data)
+        low = np.r_[tail, folding()[codes].astype(np.uint64), np.zeros(int(last), np.uint64)]
+        low = low[np.r_[True, (low[1:] != 0) | (low[:-1] != 0)]]
+        # Grams that begin in the last places wait for the characters after them.
+        until = len(low) if last else max(0, len(low) - LONGEST + 1)
+        keys = np.concatenate([key[:until][inside[:until]] for key, inside in windows(low)])
+        some, n = np.unique(keys, return_counts=True)
+        values, counts = added(np.r_[values, some], np.r_[counts, n])
+        tail, at = low[until:], end + last
+    return values, counts
+
+
+def added(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, with the sum of their counts."""
+    different, at = np.unique(values, return_inverse=True)
+    total = np.zeros(len(different), np.int64)
+    np.add.at(total, at, counts)
+    return different, total
+
+
+def counted_texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What counted() gives for every text of a batch; short texts are taken together."""
+    for part in by_bytes(batch, name, 1 << 20):
+        data, offsets = text_buffer(part.column(name))
+        if part.num_rows == 1 and len(data) > LONG_TEXT:
+            yield counted(memoryview(data))
+            continue
+        keys, starts = grams(part.column(name))
+        for i in range(part.num_rows):
+            yield np.unique(keys[starts[i] : starts[i + 1]], return_counts=True)
+
+
+def most_frequent(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent of different numbers in ascending order, by frequency, ties by number."""
+    if len(values) > most:
         least = np.partition(counts, len(counts) - most)[len(counts) - most]
         few = counts >= least
-        starts, counts = starts[few], counts[few]
-    order = np.argsort(-counts, kind="stable")[:most]
-    return keys[starts[order]]
+        values, counts = values[few], counts[few]
+    return values[np.argsort(-counts, kind="stable")[:most]]
 
 
 def labelled(docs: DataFrame, lang: str, sample: int) -> DataFrame:
-    """About `sample` rows of each language, the same in every run: those whose hashed text and length fall below its share."""
-    counts = materialize(docs.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("__n")).withColumnRenamed(lang, "__lang"))
-    if counts.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages cannot be told apart")
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(counts), docs[lang] == counts["__lang"]).filter(draw * F.col("__n") < sample).select("__lang", "text")
+    """__lang, text: about `sample` different texts of each language, the same in every run.
+
+    Texts are counted and drawn by their hash, each once however often it comes, so a language whose rows
+    are copies of few texts gives all of these.
+    """
+    rows = docs.select(F.col(lang).cast("string").alias("__lang"), docs["text"].alias("text")).filter("__lang is not null and text is not null")
+    rows = rows.withColumn("__key", F.xxhash64("text"))
+    counts = materialize(rows.groupBy("__lang").agg(F.approx_count_distinct("__key", 0.02).alias("__n")).withColumnRenamed("__lang", "__l"))
+    draw = F.pmod(F.xxhash64("__key", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(counts, rows["__lang"] == counts["__l"]).filter(draw * F.col("__n") < sample)
+    return some.groupBy("__lang", "__key").agg(F.max("text").alias("text")).select("__lang", "text")
 
 
 def learn(training: DataFrame, lang: str = "lang", sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, np.ndarray]:
     """The profile of every language of the labelled rows.
 
     Tasks count the n-grams of their rows for each language and pass on sums; the driver gets `profile`
-    n-grams for each language and nothing else.
+    n-grams for each language and nothing else, and every task the same table: it grows with the languages alone.
     """
     rows = labelled(training, lang, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 23):
-                langs = np.array(batch.column("__lang").to_pylist(), dtype=object)
-                for one in sorted(set(langs.tolist())):
-                    keys, _ = grams(batch.column("text").filter(pa.array(langs == one)))
-                    values, n = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        for batch in batches:
+            sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            waiting: dict[str, list] = {}
+            held = 0
+            for one, found in zip(batch.column("__lang").to_pylist(), counted_texts(batch, "text"), strict=True):
+                waiting.setdefault(one, []).append(found)
+                held += len(found[0])
+                if held > 1 << 20:
+                    merge(sums, waiting)
+                    waiting, held = {}, 0
+            merge(sums, waiting)
+            for one, (values, n) in sorted(sums.items()):
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    def merge(sums: dict, waiting: dict) -> None:
+        for one, parts in waiting.items():
+            values, n = zip(*([sums[one]] if one in sums else []), *parts, strict=True)
+            sums[one] = added(np.concatenate(values), np.concatenate(n))
 
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
@@ -128,9 +187,9 @@ class Ranks:
         for j, lang in enumerate(self.langs):
             self.ranks[np.searchsorted(self.grams, profiles[lang]), j] = np.arange(len(profiles[lang]))
 
-    def distance(self, keys: np.ndarray) -> np.ndarray:
+    def distance(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The out-of-place distance to each language over the longest possible one, 0 to 1."""
-        own = frequent(keys, self.profile)
+        own = most_frequent(values, counts, self.profile)
         at = np.searchsorted(self.grams, own)
         at[at == len(self.grams)] = 0
         ranks = self.ranks[at]
@@ -139,33 +198,35 @@ class Ranks:
         return apart.sum(axis=0) / (self.profile * len(own))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), profile: int = PROFILE) -> DataFrame:
-    """Columns `keep`, lang_pred and score of every row, from its whole text alone.
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], columns: tuple[str, ...] = ("doc_id",), profile: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns `columns`, lang_pred and score of every row, from its whole text alone.
 
     score is one minus the smallest distance's share of the longest. A text that is null or has no letter is
     `und` with score 0, as is any text where no language was learned. Ties go to the first language by name.
+    Repeated rows fare alike, no rows give no rows, a text of any length is taken apart, and other columns may
+    have any name; `names` are those of the two results, where `columns` has a lang_pred or score of its own.
     """
     # The text travels once, whether it is kept or not.
-    given = "text" if "text" in keep else "__text"
-    source = docs.select(*keep) if given == "text" else docs.select(*keep, docs["text"].alias(given))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
+    own = [F.col(f"`{c}`") for c in columns]
+    source = docs.select(F.struct(*own).alias("row"), F.col("text").alias("text")) if "text" not in columns else docs.select(F.struct(*own).alias("row"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema["row"].dataType.fields)
     ranks = Ranks(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_bytes(whole, given, 1 << 20):
-                keys, starts = grams(batch.column(given))
-                langs, scores = [], []
-                for i in range(batch.num_rows):
-                    if starts[i] == starts[i + 1] or not ranks.langs:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                    else:
-                        apart = ranks.distance(keys[starts[i] : starts[i + 1]])
-                        best = int(apart.argmin())
-                        langs.append(ranks.langs[best])
-                        scores.append(float(1 - apart[best]))
-                kept = [batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+        for batch in batches:
+            row = batch.column("row")
+            kept = [row.field(c) for c in columns]
+            texts = pa.RecordBatch.from_arrays([kept[columns.index("text")] if "text" in columns else batch.column("text")], names=["text"])
+            langs, scores = [], []
+            for values, counts in counted_texts(texts, "text"):
+                if not len(values) or not ranks.langs:
+                    langs.append(UNKNOWN)
+                    scores.append(0.0)
+                else:
+                    apart = ranks.distance(values, counts)
+                    best = int(apart.argmin())
+                    langs.append(ranks.langs[best])
+                    scores.append(float(1 - apart[best]))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *names])
+
+    return source.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

@@ -1,82 +1,93 @@
 """Repeated runs of lines, found by winnowing over line hashes, with DataFrame operations only.
 
-Of the hashes of every `run` consecutive lines the smallest is a fingerprint (of equal ones the last).
-Runs of that length that are alike share their fingerprint, so windows whose fingerprint occurs once are
-settled. The others are joined with the earliest window of the same lines; matches that continue up or
-down are further such windows, and a document loses the lines that any of its later windows covers.
+Of the hashes of every `run` consecutive lines the smallest is selected (of equal ones the last), so two runs
+of that length that are alike have the same line selected: its hash is their fingerprint. Selected positions
+are joined by fingerprint, and positions whose fingerprint stands nowhere else go. Each match is extended up
+and down to the runs that selected it: positions are regrouped by the lines around them, so a position meets
+the earliest one that still matches and never all of them. Runs that match an earlier place are chained where
+they overlap, which extends a match as far as it goes, and a document loses the lines of its later runs.
+A single line of many words can count as a run too; it is its own fingerprint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, internal_id, materialize
+from .common import WORD_PATTERN, internal_id, keep, materialize, scratch
 
 RUN = 2
-#: Words from which a single line counts as a run where that is asked for.
+#: Words from which a single line counts as a run.
 LONG_WORDS = 50
 
 
-def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc, text_key, start, fp, at, run_key: every window of `run` lines, its fingerprint and where that lies, and the digest of its lines."""
-    source = docs.select(internal_id("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("t")).filter(F.contains("t", F.lit("\n")))
-    digests = source.select("doc", F.xxhash64("t").alias("text_key"), F.transform(F.split("t", "\n", -1), lambda line: F.md5(line)).alias("lines")).filter(F.size("lines") >= run)
+def positions(docs: DataFrame, run: int = RUN, long: int | None = LONG_WORDS) -> DataFrame:
+    """doc, text_key, fp, runs: every selected line, with start, length n and a digest of each run that selected it."""
+    # `long` words have as many bytes and the spaces between.
+    least = 2 * long - 1 if long else 0
+    worth = F.contains("t", F.lit("\n")) | (F.length("t") >= least if long else F.lit(False))
+    rows = docs.select(internal_id("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("t")).filter(worth)
+    rows = rows.select("doc", F.xxhash64("t").alias("text_key"), F.split("t", "\n", -1).alias("lines"))
+    rows = rows.select("doc", "text_key", "lines", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"))
+    n = F.size("h")
 
-    def window(start):
-        lines = F.slice("lines", start + 1, run)
-        least = F.array_min(F.transform(lines, lambda line, i: F.struct(F.xxhash64(line).alias("fp"), (-i).alias("back"))))
-        return F.struct(start.alias("start"), least["fp"].alias("fp"), (start - least["back"]).alias("at"), F.md5(F.concat_ws("", lines)).alias("run_key"))
+    def selected(s: Column) -> Column:
+        return s - F.array_min(F.transform(F.slice("h", s + 1, run), lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
 
-    starts = F.sequence(F.lit(0), F.size("lines") - run)
-    return digests.select("doc", "text_key", F.explode(F.transform(starts, window)).alias("w")).select("doc", "text_key", "w.*")
+    starts = F.when(n >= run, F.transform(F.sequence(F.lit(0), F.greatest(n - run, F.lit(0))), selected)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc", "text_key", "lines", "h", starts.alias("sel"))
 
+    def runs(i: Column) -> Column:
+        near = F.sequence(F.greatest(i - run + 1, F.lit(0)), F.least(i, F.greatest(F.size("sel") - 1, F.lit(0))))
+        mine = F.filter(near, lambda s: F.coalesce(F.get("sel", s) == i, F.lit(False)))
+        found = F.transform(mine, lambda s: F.struct(s.alias("start"), F.lit(run).alias("n"), F.xxhash64(F.slice("h", s + 1, run)).alias("key")))
+        if not long:
+            return found
+        line = F.get("lines", i)
+        many = (F.length(line) >= least) & (F.regexp_count(line, F.lit(WORD_PATTERN)) >= long)
+        own = F.array(F.struct(i.alias("start"), F.lit(1).alias("n"), F.xxhash64(F.lit(1), line).alias("key")))
+        return F.when(many, F.concat(found, own)).otherwise(found)
 
-def later_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc, text_key, starts: where windows begin whose lines also stand earlier (smaller doc_id, or further up)."""
-    found = materialize(windows(docs, run))
-    # Fingerprints at more than one place, however many windows choose each. Written tables on both sides of a
-    # join let adaptive execution split a hot key.
-    parts = ("doc", "text_key", "at")
-    bounds = found.groupBy("fp").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in parts for f in (F.min, F.max)))
-    shared = materialize(bounds.filter(" or ".join(f"min_{c} <> max_{c}" for c in parts)).select("fp"))
-    candidates = found.join(shared, "fp", "left_semi")
-    place = F.struct("doc", "text_key", "start")
-    first = materialize(candidates.groupBy("run_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("run_key", "first"))
-    later = candidates.join(first, "run_key").filter(F.struct("doc", "start") > F.struct("first.doc", "first.start"))
-    return later.groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
+    every = F.transform("h", lambda x, i: F.struct(x.alias("fp"), runs(i).alias("runs")))
+    return rows.select("doc", "text_key", F.explode(every).alias("p")).select("doc", "text_key", "p.fp", "p.runs").filter(F.size("runs") > 0)
 
 
-def long_lines(docs: DataFrame, words: int) -> DataFrame:
-    """doc, text_key, start, line_key: every line of at least `words` words and where it lies."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("start"), F.md5(line).alias("line_key"), F.regexp_count(line, F.lit(WORD_PATTERN)).alias("n")))
-    return docs.select(internal_id("doc_id").alias("doc"), F.xxhash64(text).alias("text_key"), F.explode(F.filter(lines, lambda x: x["n"] >= words)).alias("x")).select("doc", "text_key", "x.start", "x.line_key")
+def later_runs(docs: DataFrame, run: int = RUN, long: int | None = LONG_WORDS) -> DataFrame:
+    """doc, text_key, covered: the lines of runs that also stand earlier (smaller doc_id, or further up).
 
-
-def later_lines(docs: DataFrame, words: int) -> DataFrame:
-    """doc, text_key, singles: lines of at least `words` words that also stand earlier."""
-    found = materialize(long_lines(docs, words))
-    place = F.struct("doc", "text_key", "start")
-    first = materialize(found.groupBy("line_key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("line_key", "first"))
-    return found.join(first, "line_key").filter(place > F.col("first")).groupBy("doc", "text_key").agg(F.collect_set("start").alias("singles"))
-
-
-def deduplicated(docs: DataFrame, run: int = RUN, long: int | None = None) -> DataFrame:
+    A written table; what it was made from is deleted. Joins are merges at every size, which adaptive execution
+    splits at a hot fingerprint.
+    """
+    with scratch(docs.sparkSession):
+        found = materialize(positions(docs, run, long))
+        at = F.xxhash64("doc", "text_key", F.col("runs")[0]["start"])
+        places = found.select("fp", at.alias("at")).groupBy("fp").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+        shared = materialize(places.filter("least <> most").select("fp"))
+        matched = found.join(shared.hint("merge"), "fp", "left_semi")
+        extended = materialize(matched.select("fp", "doc", "text_key", F.explode("runs").alias("r")).select("fp", "r.key", "doc", "text_key", "r.start", "r.n"))
+        place = F.struct("doc", "text_key", "start")
+        first = extended.groupBy("fp", "key", "n").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+        later = extended.join(materialize(first).hint("merge"), ["fp", "key", "n"]).filter(place > F.col("first"))
+        runs = F.collect_set(F.struct("start", "n")).alias("runs")
+        chained = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))
+        return keep(materialize(later.groupBy("doc", "text_key").agg(runs).select("doc", "text_key", chained.alias("covered"))))
+
+
+def deduplicated(docs: DataFrame, run: int = RUN, long: int | None = LONG_WORDS) -> DataFrame:
     """docs with __kept (the text without its later runs), __n_lines and __n_removed.
 
-    A line is removed if it lies in a window of `run` lines that also starts earlier; windows are judged on
-    the input. Lines are compared as they are. A null text stays null and, like an empty one, has one line.
-    A text of fewer lines keeps them all. Repeated rows stand at one place, so neither is later. With `long`,
-    a line of at least that many words is removed too if it stands earlier, whatever lies around it.
+    A line is removed if it lies in a run of `run` lines that also starts earlier, or if it has `long` words or
+    more and also stands earlier; runs are judged on the input. Lines are compared as they are. A null text stays
+    null and, like an empty one, has one line. Repeated rows stand at one place, so neither is later; rows without
+    an id come last, in the order of their texts' hashes. No rows give no rows; other columns may have any name.
     """
-    found = later_windows(docs, run).withColumn("covered", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))))
-    if long:
-        found = found.join(later_lines(docs, long), ["doc", "text_key"], "full").withColumn("covered", F.array_union(F.coalesce("covered", F.array().cast("array<int>")), F.coalesce("singles", F.array().cast("array<int>"))))
-    found = found.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key"), F.col("covered").alias("__covered"))
-    joined = docs.join(found, (internal_id("doc_id") == F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text_key")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    covered = F.col("__covered")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.element_at(lines, i + 1)), "\n")
-    some = F.col("__covered").isNotNull()
-    return joined.select(*docs.columns, F.when(some, kept).otherwise(F.col("text")).alias("__kept"), F.size(lines).cast("long").alias("__n_lines"), F.when(some, F.size(covered)).otherwise(0).cast("long").alias("__n_removed"))
+    found = later_runs(docs, run, long).select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("covered").alias("__covered"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), internal_id("doc_id").alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"))
+    joined = rows.join(found.hint("merge"), ["__doc", "__key"], "left")
+    text, covered = F.col("__row")["text"], F.col("__covered")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
+    some = covered.isNotNull()
+    counts = [F.size(lines).cast("long").alias("__n_lines"), F.when(some, F.size(covered)).otherwise(0).cast("long").alias("__n_removed")]
+    return joined.select("__row.*", F.when(some, kept).otherwise(text).alias("__kept"), *counts)

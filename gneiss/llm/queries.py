@@ -70,12 +70,13 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_best_fit_packing, op4_suffix_dedup, op5_mixing, op6_simhash, op7_language, op8_vectors, op9_line_dedup, op10_fingerprints)}
 
 
-#: Two-line windows by their text, the earliest place of each, and the lines that later ones cover.
-LINE_DEDUP = """
+#: Two-line runs and lines of 50 words by their text, the earliest place of each, and the lines that later ones cover.
+LINE_DEDUP = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, s, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)),
-first AS (SELECT k, min((doc_id, s)) AS f FROM w GROUP BY k HAVING count(*) > 1),
-gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest([s, s + 1]) AS i FROM w JOIN first USING (k) WHERE (doc_id, s) > f)),
+w AS (SELECT doc_id, s, 2 AS n, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)
+  UNION ALL SELECT doc_id, s, 1, k FROM (SELECT doc_id, unnest(range(0, len(ls))) AS s, unnest(ls) AS k FROM l) WHERE len(regexp_extract_all(k, '[^\x20\x09-\x0D]+')) >= 50),
+first AS (SELECT k, n, min((doc_id, s)) AS f FROM w GROUP BY k, n HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM w JOIN first USING (k, n) WHERE (doc_id, s) > f)),
 listed AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: g IS NULL OR NOT list_contains(g, i)), lambda i: ls[i + 1]), chr(10)), '')) AS kept_sha256
@@ -96,21 +97,28 @@ kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t, count(*) AS n FROM w
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-#: Shares by weight with the excess of full sources passed on, then the documents of lowest rank that fit, and one that fits best.
+#: Shares by weight with the excess of full sources passed on, then probabilities in proportion to size, the documents of lowest rank that fit, and one that fits best.
 MIXING = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS BIGINT) AS size,
+  md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, '')) || ':' || coalesce('=' || source, '-')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, CAST(source_size * {mixing.MOST_TIMES} AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM k WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(cap, coalesce((SELECT level FROM l WHERE cap >= level * w ORDER BY cap / w, k LIMIT 1), 'inf'::DOUBLE) * w) END AS target FROM l),
 n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 p AS (SELECT *, target - whole * source_size AS need, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM n),
-u AS (SELECT d.*, source_size, target, whole, need, p, (CAST('0x' || substr(md5(doc_id || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, (u / (1 - u)) / greatest(p / (1 - p), 1e-300) AS rank FROM u),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= need AS taken_in FROM r),
+z AS (SELECT d.source, size, need, count(*) AS n FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY ALL),
+y AS (SELECT source, size, (need - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / CAST(sum(CAST(n AS HUGEINT) * size * size) OVER (PARTITION BY source ORDER BY size) AS DOUBLE) AS rate FROM z),
+x AS (SELECT source, arg_max(rate, size) AS rate FROM y WHERE rate * size <= 1 GROUP BY source),
+q AS (SELECT d.*, source_size, target, whole, need, least(1.0, coalesce(rate, 0) * size) AS p, row_number() OVER (PARTITION BY key) - 1 AS ordinal
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+u AS (SELECT *, (CAST('0x' || substr(md5(key || ':' || ordinal || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS rank FROM u),
+c AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, key, ordinal ROWS UNBOUNDED PRECEDING) <= need AS taken_in FROM r),
 g AS (SELECT *, need - coalesce(sum(CASE WHEN taken_in THEN size END) OVER (PARTITION BY source), 0) AS gap FROM c),
-o AS (SELECT *, min(CASE WHEN NOT taken_in AND abs(size - gap) < gap THEN (abs(size - gap), rank, doc_id) END) OVER (PARTITION BY source) AS closing FROM g)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN taken_in OR coalesce((abs(size - gap), rank, doc_id) = closing, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o
+o AS (SELECT *, min(CASE WHEN NOT taken_in AND rank IS NOT NULL AND abs(size - gap) < gap THEN (abs(size - gap), rank, key, ordinal) END) OVER (PARTITION BY source) AS closing FROM g)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN taken_in OR coalesce((abs(size - gap), rank, key, ordinal) = closing, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM o
 """
 
 #: All pairs by their cosine in double precision, and what they reach.

@@ -178,7 +178,8 @@ def linked(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...]
         if rest and rest[0].column("cell")[0].as_py() == cell[-1]:
             rest.append(batch)
             continue
-        yield emit(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+        if cut or rest:
+            yield emit(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
         rest = [batch.slice(cut)]
     if rest:
         yield emit(pa.Table.from_batches(rest))

@@ -33,8 +33,19 @@ def strings(docs, length=100):
     return repeated_windows(docs, lambda t: (t or "").encode(), bytes, length)
 
 
-def lines(docs, run=2):
-    return repeated_windows(docs, lambda t: (t or "").split("\n"), lambda x: "\n".join(x).encode(), run)
+def lines(docs, run=2, long=50):
+    """doc -> (n_lines, n_removed, digest): runs of `run` lines, and lines of `long` words, that also start earlier."""
+    first, out = {}, {}
+    for doc, text in sorted(docs, key=lambda d: d[0]):
+        ls, gone = (text or "").split("\n"), set()
+        for i in range(len(ls)):
+            if i + run <= len(ls) and first.setdefault(tuple(ls[i : i + run]), (doc, i)) != (doc, i):
+                gone |= set(range(i, i + run))
+            if long and len(ls[i].encode().split()) >= long and first.setdefault(ls[i], (doc, i)) != (doc, i):
+                gone.add(i)
+        kept = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+        out[doc] = (len(ls), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
 
 
 def reach(nodes, links):

@@ -310,11 +310,15 @@ def test_vectors_over_many_cells_and_blocks(spark, monkeypatch):
     assert found == brute.vectors(data)
 
 
-def test_lines_equal_brute_force(docs, texts):
-    found = {r["doc_id"]: (r["__n_lines"], r["__n_removed"]) for r in lines.deduplicated(docs).collect()}
-    want = brute.lines(enumerate(texts))
-    assert found == {d: (w[0], w[1]) for d, w in want.items()}
-    assert sum(w[1] for w in want.values()) >= 8
+@pytest.mark.parametrize(("run", "long"), [(2, 50), (2, None), (3, 20)])
+def test_lines_equal_brute_force(docs, texts, run, long):
+    import hashlib
+
+    rows = lines.deduplicated(docs, run, long).collect()
+    found = {r["doc_id"]: (r["__n_lines"], r["__n_removed"], hashlib.sha256((r["__kept"] or "").encode()).hexdigest()) for r in rows}
+    want = brute.lines(enumerate(texts), run, long)
+    assert found == want
+    assert run == 3 or sum(w[1] for w in want.values()) >= 8
 
 
 def test_lines_plan_has_no_python(docs, capsys):
