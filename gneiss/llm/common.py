@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import sys
 import tempfile
 import types
@@ -20,6 +21,7 @@ CHUNK_BYTES = 1 << 21
 NO_ID = (1 << 63) - 1
 #: The six ASCII white-space bytes; words are what lies between them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+WHITE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,3 +139,15 @@ def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of the given lengths: the run that each element belongs to, and its place in the run."""
     run = np.repeat(np.arange(len(lengths)), lengths)
     return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def word_parts(text: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, those of about `most` bytes at a time."""
+    at = 0
+    while len(text) - at > most:
+        end = WHITE_BYTE.search(text, at + most)
+        if not end:
+            break
+        yield text[at : end.start()].split()
+        at = end.start()
+    yield (text[at:] if at else text).split()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, internal_id, mix64, outer_id
+from .common import NO_ID, internal_id, mix64, outer_id, word_parts
 
 BINS = 256
 BITS = 8
@@ -31,6 +31,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), dtype="<u8") if words else np.empty(0, dtype="<u8")
 
 
+def text_hashes(text: bytes) -> np.ndarray:
+    """The hashes of a text's words; a long text's words are not held all at once."""
+    parts = [word_hashes(words) for words in word_parts(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """One hash for every `width` consecutive words; fewer words are one shingle, none are none."""
     if not len(words):
@@ -121,7 +127,7 @@ def compare(rows: list[tuple[int, str, str]], bins: int, bits: int) -> pa.Record
         third = len(text) // 3
         edited.append(text[: len(text) - third] + follower[:third])
     texts = [t for _, t, _ in rows] + edited + [f for _, _, f in rows]
-    prints = sketches([shingle_hashes(word_hashes(t.encode().split())) for t in texts], bins)
+    prints = sketches([shingle_hashes(text_hashes(t.encode())) for t in texts], bins)
     n = len(rows)
     empty = (prints == EMPTY).all(axis=1)
     low = packed(prints, bits)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, by_bytes, internal_id, materialize, mix64
 from .components import components
-from .minhash import shingle_hashes, word_hashes
+from .minhash import shingle_hashes, text_hashes
 from .simhash import Forest, linked, split_cells, without
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ GROUP_ROWS = 256
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles, A-Z lowered; fewer words are one shingle, none are none."""
-    return np.unique(shingle_hashes(word_hashes(text.lower().split()), width))
+    return np.unique(shingle_hashes(text_hashes(text.lower()), width))
 
 
 def bits(hashes: np.ndarray) -> np.ndarray:

@@ -2,10 +2,9 @@
 
 A window is `window` consecutive tokens of one document. Among the seeds (`seed` tokens) that start in a
 window the one with the smallest hash is the window's anchor; equal windows have their anchor at one
-place, so windows whose anchor's seed occurs once in the corpus are settled by one row for each anchor
-(about two of every window - seed + 2 seeds). What else an anchor's windows hold is compared in steps:
-the whole stretch of the windows it stands for by its hash, seeds extended to either side to twice their
-length, and last the windows themselves.
+place, so windows whose anchor's seed occurs once in the corpus cannot repeat. Anchors are about two of every
+window - seed + 2 seeds. The windows of the other anchors go on to the operator's own method, cut out of
+their texts and filed under the tokens around the anchor, and what it finds comes back to the texts.
 """
 
 from __future__ import annotations
@@ -16,24 +15,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_bytes, materialize, mix64, spread, text_buffer
+from .common import NO_ID, by_bytes, keep, materialize, mix64, scratch, spread, text_buffer
 
 #: Low bits of a sort key that hold a position; a chunk of tokens is shorter than 2 ** POSITION.
 POSITION = 24
 MOST_TOKENS = 1 << 22
+#: Tokens, and windows, that anchors are cut out of at once.
+CUT_TOKENS, CUT_WINDOWS = 1 << 21, 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
-#: One document in SAMPLED shows which seeds are so frequent that their rows must be spread over tasks:
-#: those with SEEN rows there or more, and with more than one row in MOST_HOT. It decides where rows go, not what is found.
-SAMPLED, SEEN, MOST_HOT = 64, 32, 10_000
-#: Marks the place of an anchor with such a seed.
-SPREAD = 1 << 60
-#: Parts that the stretches of such a seed are dealt to.
-PARTS = 256
-#: Rows under one key that the last step orders in one task.
-KEY_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -42,7 +34,6 @@ class Shape:
 
     window: int
     seed: int
-    bytes_: bool = False
 
     @property
     def reach(self) -> int:
@@ -82,26 +73,15 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:n], least[width - length : width - length + n])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse, below the n-th."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        row = np.full(n, base, dtype=np.uint64)
-        row[0] = 1
-        out.append(np.multiply.accumulate(row))
-    return out[0], out[1]
-
-
 def anchors(tokens: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Of documents laid end to end: each anchor's document, place, first and last window, seed and stretch hash.
+    """Of documents laid end to end: each anchor's document, place, first and last window, and seed.
 
-    `starts` are the n + 1 places where documents begin. The stretch reaches from the first window's start
-    to the last window's end; its hash also covers where in it the anchor lies.
+    `starts` are the n + 1 places where documents begin.
     """
     n, reach = len(tokens), shape.reach
     nothing = np.empty(0, dtype=np.int64)
     if n < shape.window:
-        return nothing, nothing, nothing, nothing, nothing.astype(np.uint64), nothing.astype(np.uint64)
+        return nothing, nothing, nothing, nothing, nothing.astype(np.uint64)
     seeds = rolling(tokens, shape.seed)
     low = np.uint64((1 << POSITION) - 1)
     keys = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64)
@@ -111,14 +91,12 @@ def anchors(tokens: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.nd
     doc, place = spread(room)
     window = starts[doc] + place
     at = at[window]
-    new = np.r_[True, (at[1:] != at[:-1])] if len(at) else np.empty(0, bool)
+    # Another document is another anchor, also where the same place would serve both.
+    new = firsts(at, doc)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1 if len(first) else first
-    doc, lo, hi, at = doc[first], window[first], window[last], at[first]
-    up, down = powers(len(seeds) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(seeds * up[:-1])]
-    stretch = mix64((total[hi + reach] - total[lo]) * down[lo] + mix64(((at - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)))
-    return doc, at, lo, hi, seeds[at], stretch
+    at = at[first]
+    return doc[first], at, window[first], window[last], seeds[at]
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,17 +115,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (far[last] - number[last] * apart)
 
 
-#: Rows between the steps: for an anchor its seed, stretch hash, document and packed place; for a stretch
-#: that is settled as repeated (place < 0) a number that spreads such rows, its start, document and -1 - end.
-ROW = "seed long, stretch long, doc long, place long"
-
-
 def pack_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (at << 16) | ((at - lo) << 8) | (at - hi)
 
 
 def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = (place & (SPREAD - 1)) >> 16
+    at = place >> 16
     return at, at - ((place >> 8) & 255), at - (place & 255)
 
 
@@ -155,24 +128,11 @@ def rows(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
 
-def frequent_seeds(docs: DataFrame, shape: Shape, tokenize: Callable) -> np.ndarray:
-    """Seeds that very many stretches hold, sorted; MOST_HOT of them at most, as each has its share of the rows."""
-    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)
-    counts = scan(some, shape, tokenize, np.empty(0, np.uint64)).filter("place >= 0").groupBy("seed").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    found = counts.filter(F.col("n") >= max(SEEN, -(-total // MOST_HOT))).select("seed").limit(MOST_HOT).collect()
-    return np.sort(np.array([r["seed"] for r in found], dtype=np.int64).view(np.uint64))
-
-
-def scan(docs: DataFrame, shape: Shape, tokenize: Callable, hot: np.ndarray) -> DataFrame:
-    """ROWs of all documents. Within a batch an anchor whose stretch a former one has is settled at once.
-
-    Rows of hot seeds get a seed that their stretch takes part in, and a mark.
-    """
+def scan(docs: DataFrame, shape: Shape, tokenize: Callable) -> DataFrame:
+    """seed, doc, place of every anchor of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            found = []
             for batch in by_bytes(whole, "text"):
                 ids = batch.column("doc").to_numpy()
                 tokens, starts = tokenize(batch.column("text"))
@@ -181,26 +141,11 @@ def scan(docs: DataFrame, shape: Shape, tokenize: Callable, hot: np.ndarray) ->
                     for a in range(int(starts[i]), max(int(starts[i]) + 1, int(starts[j]) - shape.window + 1), MOST_TOKENS) if starts[j] - starts[i] > MOST_TOKENS else [int(starts[i])]:
                         b = min(int(starts[j]), a + MOST_TOKENS + shape.window - 1)
                         part = np.array([0, b - a]) if j == i + 1 else starts[i : j + 1] - a
-                        doc, at, lo, hi, seed, stretch = anchors(tokens[a:b], part, shape)
+                        doc, at, lo, hi, seed = anchors(tokens[a:b], part, shape)
                         origin = starts[i:j][doc] - a
-                        found.append((seed, stretch, ids[i:j][doc], pack_place(at - origin, lo - origin, hi - origin)))
-            if not found:
-                continue
-            seed, stretch, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
-            if len(hot):
-                near = np.minimum(np.searchsorted(hot, seed), len(hot) - 1)
-                spread_out = hot[near] == seed
-                seed = np.where(spread_out, mix64(seed + stretch % np.uint64(PARTS)), seed)
-                place = np.where(spread_out, place | SPREAD, place)
-            order = np.lexsort((place, doc, stretch, seed))
-            seed, stretch, doc, place = seed[order], stretch[order], doc[order], place[order]
-            repeat = later_of(seed, stretch, doc, place)
-            yield rows(seed[~repeat], stretch[~repeat], doc[~repeat], place[~repeat], names=["seed", "stretch", "doc", "place"])
-            at, lo, hi = unpack_place(place[repeat])
-            doc, start, end = merged(doc[repeat], lo, hi + shape.window)
-            yield rows(mix64(doc.astype(np.uint64) + start.astype(np.uint64) * np.uint64(BASE)), start, doc, -1 - end, names=["seed", "stretch", "doc", "place"])
-
-    return docs.mapInArrow(run, ROW)
+                        yield rows(seed, ids[i:j][doc], pack_place(at - origin, lo - origin, hi - origin), names=["seed", "doc", "place"])
+
+    return docs.mapInArrow(run, "seed long, doc long, place long")
 
 
 def chunks(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -221,13 +166,6 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def later_of(seed: np.ndarray, stretch: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of sorted rows those with the seed and stretch of an earlier place; the same place again is not later."""
-    new = firsts(seed, stretch)
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
-    return (doc != doc[first]) | (place != place[first])
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches of rows sorted by key, cut so that no key is in two of them."""
     rest: list[pa.RecordBatch] = []
@@ -246,140 +184,86 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(rest)
 
 
-def settle(found: DataFrame, shape: Shape) -> DataFrame:
-    """doc, start, end of repeated stretches, and (end null) doc, start = place of anchors still open.
+def recurring(found: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a written table whose keys come more than once.
 
-    An anchor whose seed and stretch an earlier anchor has is repeated. The earliest of each stretch stays
-    open if its seed has other stretches too, or is a frequent one whose stretches are in several tasks.
+    Keys are counted before they move, and joined by merging written tables, which adaptive execution splits
+    at a hot key: no task holds a key's rows.
     """
-    placed = found.repartition("seed").sortWithinPartitions("seed", "stretch", "doc", "place")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "seed"):
-            seed, stretch, doc, place = (group.column(c).to_numpy() for c in ("seed", "stretch", "doc", "place"))
-            done = place < 0
-            ends = [(doc[done], stretch[done], -1 - place[done])]
-            seed, stretch, doc, place = seed[~done], stretch[~done], doc[~done], place[~done]
-            repeat = later_of(seed, stretch, doc, place)
-            at, lo, hi = unpack_place(place[repeat])
-            ends.append((doc[repeat], lo, hi + shape.window))
-            d, s, e = (np.concatenate(c) for c in zip(*ends, strict=True))
-            left = np.flatnonzero(firsts(seed, stretch))
-            kinds = firsts(seed[left])
-            number = np.cumsum(kinds) - 1
-            several = np.bincount(number, minlength=1)[number] > 1 if len(left) else np.empty(0, bool)
-            left = left[several | (place[left] >= SPREAD)]
-            n = len(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[d, doc[left]]), pa.array(np.r_[s, place[left] & (SPREAD - 1)]), pa.array(np.r_[e, np.zeros(len(left), np.int64)], mask=np.arange(n + len(left)) >= n)], names=["doc", "start", "end"])
-
-    return placed.mapInArrow(run, "doc long, start long, end long")
-
-
-def extended(docs: DataFrame, still_open: DataFrame, shape: Shape, tokenize: Callable) -> DataFrame:
-    """key, doc, start, count, data: the windows of open anchors by the seed's extension to the left or right.
+    several = materialize(found.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    return found.join(several.hint("merge"), list(keys), "left_semi")
+
+
+@dataclass
+class Cut:
+    """Anchors of some texts: a run of tokens, and in it each anchor's document, place, first and last window."""
+
+    tokens: np.ndarray
+    doc: np.ndarray
+    origin: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def cuts(batches: Iterator[pa.RecordBatch], shape: Shape, tokenize: Callable) -> Iterator[Cut]:
+    """The anchors listed in `places` of every text, some at a time; `origin` is where a document begins in the run of tokens."""
+    for whole in batches:
+        for batch in by_bytes(whole, "text"):
+            tokens, starts = tokenize(batch.column("text"))
+            ids = batch.column("doc").to_numpy()
+            lists = batch.column("places")
+            count = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+            at, lo, hi = unpack_place(np.asarray(lists.flatten()).astype(np.int64))
+            row = np.repeat(np.arange(len(ids)), count)
+            inside = hi + shape.window <= np.diff(starts)[row]  # not so where rows of one id differ in their texts
+            at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
+            begin = starts[row] + lo
+            order = np.argsort(begin, kind="stable")
+            at, lo, hi, row, begin = at[order], lo[order], hi[order], row[order], begin[order]
+            load = np.cumsum(hi - lo + 1)
+            i = 0
+            while i < len(at):
+                by_tokens = int(np.searchsorted(begin, begin[i] + CUT_TOKENS, side="right"))
+                by_windows = int(np.searchsorted(load, (load[i - 1] if i else 0) + CUT_WINDOWS, side="right"))
+                j = max(i + 1, min(by_tokens, by_windows))
+                x, y = int(begin[i]), int((starts[row[i:j]] + hi[i:j]).max()) + shape.window
+                yield Cut(tokens[x:y], ids[row[i:j]], starts[row[i:j]] - x, at[i:j], lo[i:j], hi[i:j])
+                i = j
+
+
+FILED = "key long, doc long, start long, count int, data binary"
+
+
+def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """FILED: the windows of a cut's anchors, under the seed's extension to the left or right.
 
     A window that reaches at least shape.half tokens left of its anchor is filed under the tokens from there
     to the seed's end, any other under the seed and as many tokens right of it. data holds the tokens from
-    the first of `count` windows to the end of the last.
-    """
-    listed = still_open.groupBy("doc").agg(F.collect_list("start").alias("places"))
-    joined = docs.join(listed, "doc")
-    half, seed, window = shape.half, shape.seed, shape.window
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                tokens, starts = tokenize(batch.column("text"))
-                if len(tokens) < seed + half:
-                    continue
-                ids = batch.column("doc").to_numpy()
-                lists = batch.column("places")
-                count = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-                place = np.asarray(lists.flatten()).astype(np.int64)
-                at, lo, hi = unpack_place(place)
-                row = np.repeat(np.arange(len(ids)), count)
-                inside = hi + window <= np.diff(starts)[row]  # not so where rows of one id differ in their texts
-                at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
-                long = rolling(tokens, seed + half)
-                for left, first, last, key_at in ((True, lo, np.minimum(hi, at - half), at - half), (False, np.maximum(lo, at - half + 1), hi, at)):
-                    some = first <= last
-                    origin = starts[row[some]]
-                    first, last, key_at = first[some], last[some], key_at[some]
-                    key = long[origin + key_at] ^ np.uint64(0x5555 if left else 0)
-                    size, cell = last - first + window, tokens.itemsize
-                    which, step = spread(size)
-                    data = tokens[(origin + first)[which] + step].tobytes()
-                    ends = np.r_[0, np.cumsum(size * cell)]
-                    for i in range(0, len(key), 1 << 14):
-                        j = min(len(key), i + (1 << 14))
-                        part = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32).tobytes()), pa.py_buffer(data[ends[i] : ends[j]])])
-                        yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(ids[row[some]][i:j]), pa.array(first[i:j]), pa.array((last - first + 1)[i:j].astype(np.int32)), part], names=["key", "doc", "start", "count", "data"])
-
-    return joined.mapInArrow(run, "key long, doc long, start long, count int, data binary")
-
-
-def crowded_step(filed: DataFrame, shape: Shape) -> DataFrame:
-    """The same as last_step for keys with very many rows: each window by itself, by 128 bits of its hash.
-
-    Windows are summed up to their earliest place before they move, and joined with it, so no task holds a key.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1 << 12):
-                batch = whole.slice(i, 1 << 12)
-                raw, starts = text_buffer(batch.column("data"))
-                tokens = raw if shape.bytes_ else np.frombuffer(raw.tobytes(), dtype=np.uint64)
-                row, step = spread(batch.column("count").to_numpy().astype(np.int64))
-                at = starts[row] // tokens.itemsize + step
-                first = rolling(tokens, shape.window)[at]
-                second = rolling(mix64(tokens.astype(np.uint64) + np.uint64(BASE)), shape.window)[at]
-                yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
-
-    windows = filed.mapInArrow(run, "h1 long, h2 long, doc long, start long")
-    first = materialize(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    late = windows.join(first, ["h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
-    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
-
-
-def last_step(filed: DataFrame, shape: Shape, order: Callable) -> DataFrame:
-    """doc, start, end of the windows that also start earlier under the same key.
-
-    `order` gets the data of a batch of rows, where each row's data begin, and the first and number of its
-    windows; it returns all windows' group numbers, equal for equal windows.
+    the first of `count` windows to the end of the last. With `alive`, one flag for each window of each anchor,
+    only those set are filed, and a row holds windows without a gap.
     """
-    placed = filed.repartition("key").sortWithinPartitions("key", "doc", "start")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key"):
-            key = group.column("key").to_numpy()
-            new = firsts(key)
-            number = np.cumsum(new) - 1
-            shared = np.flatnonzero(np.bincount(number)[number] > 1)
-            if not len(shared):
-                continue
-            for i, j in key_ranges(number[shared]):
-                part = group.take(pa.array(shared[i:j]))
-                doc, start, count = (part.column(c).to_numpy() for c in ("doc", "start", "count"))
-                row, step = spread(count.astype(np.int64))
-                names = order(part.column("data").combine_chunks(), row, step)
-                d, s = doc[row], start[row] + step
-                o = np.lexsort((s, d, names))
-                first = np.flatnonzero(firsts(names[o]))[np.cumsum(firsts(names[o])) - 1]
-                late = (d[o] != d[o][first]) | (s[o] != s[o][first])
-                yield rows(*merged(d[o][late], s[o][late], s[o][late] + shape.window), names=["doc", "start", "end"])
-
-    return placed.mapInArrow(run, "doc long, start long, end long")
-
-
-def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int]]:
-    """Ranges of about `most` rows that part no key."""
-    bounds = np.r_[np.flatnonzero(firsts(number)), len(number)]
-    i = 0
-    while i < len(bounds) - 1:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
-        yield int(bounds[i]), int(bounds[j])
-        i = j
+    anchor, step = spread(cut.hi - cut.lo + 1)
+    if alive is not None:
+        anchor, step = anchor[alive], step[alive]
+    place = cut.lo[anchor] + step
+    left = place <= (cut.at - shape.half)[anchor]
+    new = firsts(anchor, left) | np.r_[True, place[1:] != place[:-1] + 1][: len(place)]
+    head = np.flatnonzero(new)
+    if not len(head):
+        return
+    count = np.diff(np.r_[head, len(place)])
+    anchor, left, first = anchor[head], left[head], place[head]
+    long = rolling(cut.tokens, shape.seed + shape.half)
+    key = long[cut.origin[anchor] + cut.at[anchor] - np.where(left, shape.half, 0)] ^ np.where(left, np.uint64(0x5555), np.uint64(0))
+    size, cell = count + shape.window - 1, cut.tokens.itemsize
+    for i in range(0, len(key), 1 << 13):
+        j = min(len(key), i + (1 << 13))
+        which, at = spread(size[i:j])
+        data = cut.tokens[(cut.origin[anchor[i:j]] + first[i:j])[which] + at].tobytes()
+        ends = np.r_[0, np.cumsum(size[i:j] * cell)].astype(np.int32)
+        part = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(cut.doc[anchor[i:j]]), pa.array(first[i:j]), pa.array(count[i:j].astype(np.int32)), part], names=["key", "doc", "start", "count", "data"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -396,30 +280,26 @@ def identified(docs: DataFrame) -> DataFrame:
         number, top = F.col("number"), 1 << 60
     else:
         number = F.col("id")
-    unnamed = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(min(NO_ID, NO_ID - top)))
+    unnamed: Column = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(min(NO_ID, NO_ID - top)))
     return rows_.select("id", F.coalesce(number, unnamed).alias("doc"), "text")
 
 
-def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, order: Callable, finish: Callable, fields: str) -> DataFrame:
+def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, method: Callable, finish: Callable, fields: str) -> DataFrame:
     """finish(texts, stretches) of all rows of docs, where stretches list what windows with earlier equals cover.
 
-    docs has doc_id and text; both may be null. Rows that repeat a doc_id stand at one place, so neither is
-    later than the other; they should repeat the text too, while rows without an id stand apart by their texts. Equal windows are found in any number of documents.
+    method(texts with the places of anchors whose seeds recur) gives doc, start, end of what is covered, as a
+    written table. docs has doc_id and text; both may be null, and other columns may have any name. Rows that
+    repeat a doc_id stand at one place, so neither is later than the other; they should repeat the text too,
+    while rows without an id stand apart by their texts. Lists of places are at most as long as their texts.
     """
     named = identified(docs)
     source = named.select("doc", "text")
-    hot = frequent_seeds(source, shape, tokenize)
-    first = materialize(settle(scan(source, shape, tokenize, hot), shape))
-    filed = materialize(extended(source, first.filter("end is null").select("doc", "start"), shape, tokenize))
-    crowded = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ROWS).select("key"))
-    covered = first.filter("end is not null")
-    if crowded.isEmpty():
-        covered = covered.unionByName(materialize(last_step(filed, shape, order)))
-    else:
-        covered = covered.unionByName(materialize(last_step(filed.join(crowded, "key", "left_anti"), shape, order)))
-        covered = covered.unionByName(materialize(crowded_step(filed.join(crowded, "key", "left_semi"), shape)))
-    listed = covered.groupBy("doc").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("stretches"))
-    joined = named.join(listed, "doc", "left")
+    with scratch(docs.sparkSession):
+        listed = recurring(materialize(scan(source, shape, tokenize)), "seed").groupBy("doc").agg(F.collect_list("place").alias("places"))
+        covered = method(source.join(listed.hint("merge"), "doc"))
+        both = F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end")))
+        stretches = keep(materialize(covered.groupBy("doc").agg(both.alias("stretches"))))
+    joined = named.join(stretches.hint("merge"), "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_bytes, internal_id, materialize, outer_id
+from .common import NO_ID, by_bytes, internal_id, materialize, outer_id, word_parts
 from .components import components
 
 MOST_BITS = 3
@@ -29,28 +29,24 @@ PAIRS = 1 << 21
 CELL_ROWS = 8192
 
 
-def fingerprint(words: list[bytes], width: int = SHINGLE) -> int:
-    """The bits set in over half of the shingles' XXH64; 0 without words."""
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The bits set in over half of the shingles' XXH64; 0 without words. A long text goes part by part."""
     import xxhash
 
-    if not words:
-        return 0
     digest = xxhash.xxh64_digest
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
-    return majority(hashes)
-
-
-def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half of the rows of big-endian bytes."""
-    n = len(hashes)
-    if n == 1:
-        return int.from_bytes(hashes[0].tobytes(), "big")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    ones, n, carried = None, 0, []
+    for words in word_parts(text):
+        words = carried + words if carried else words
+        if len(words) >= width:
+            shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+            hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+            n += len(hashes)
+            for i in range(0, len(hashes), 1 << 16):
+                some = np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+                ones = some if ones is None else ones + some
+        carried = words[max(0, len(words) - width + 1) :]
+    if ones is None:
+        return xxhash.xxh64_intdigest(b" ".join(carried), SEED) if carried else 0
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
@@ -67,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, text_key: Column | None
         for whole in batches:
             for batch in by_bytes(whole, "__text"):
                 texts = batch.column("__text").cast(pa.binary()).to_pylist()
-                found = [fingerprint(t.lower().split(), width) if t else 0 for t in texts]
+                found = [fingerprint(t.lower(), width) if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*names, "fp"])
 
     return source.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))

@@ -1,21 +1,25 @@
 """Substring deduplication over words, by level-wise doubling.
 
-Level 1 looks at windows of a quarter of the length (the anchors' seeds), level 2 extends the repeated ones
-to either side to twice that length, and each further level doubles what is still repeated, until the full
-length is reached or no candidate survives.
+Level 1 looks at windows of a quarter of the length: of the seeds in each full window the one with the smallest
+hash, which loses no repeat. Those that come more than once are extended to either side to twice that length
+(level 2), and those that come more than once again are extended to the full length (level 3); each level reads
+the survivors of the one before and nothing else. Of the windows of full length that come more than once all
+but the earliest are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import outer_id, text_buffer
+from .common import materialize, mix64, outer_id, spread, text_buffer, word_parts
 from .minhash import word_hashes
-from .repeats import Shape, repeated
+from .repeats import BASE, FILED, Shape, cuts, filed, recurring, repeated, rolling, rows
 
 WINDOW = 20
 FIELDS = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
@@ -23,68 +27,94 @@ FIELDS = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha2
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of all texts, and the n + 1 places where texts begin."""
-    lists = [t.split() for t in column.cast(pa.binary()).to_pylist()]
-    return word_hashes([w for ws in lists for w in ws]).astype(np.uint64), np.r_[0, np.cumsum([len(ws) for ws in lists])].astype(np.int64)
-
-
-def doubling(window: int, length: int):
-    """Names for the windows of stretches of word hashes: equal for equal windows, unique where nothing repeats."""
-
-    def order(data: pa.Array, row: np.ndarray, step: np.ndarray) -> np.ndarray:
-        raw, offsets = text_buffer(data)
-        tokens, starts = raw.tobytes(), offsets // 8
-        tokens = np.frombuffer(tokens, dtype=np.uint64)
-        # Level by level: a window's name stands for the names of two shorter windows that cover it.
-        names = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-        size = 1
-        at = starts[row] + step
-        alive = np.arange(len(at))
-        while size < window:
-            longer = min(2 * size, window)
-            shift = longer - size
-            n = len(names) - shift
-            pair = names[:n] * (int(names.max()) + 1) + names[shift:]
-            names = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-            size = longer
-            if size >= length and len(alive):
-                # Windows that begin with a part that no other begins with are left behind.
-                own = names[at[alive]]
-                counts = np.bincount(own)
-                alive = alive[counts[own] > 1]
-                if not len(alive):
-                    break
-        found = -1 - np.arange(len(at))
-        if len(alive):
-            found[alive] = names[at[alive]]
-        return found
-
-    return order
+    hashes, counts = [], []
+    waiting: list[bytes] = []
+    for text in column.cast(pa.binary()).to_pylist():
+        n = 0
+        for words in word_parts(text):
+            n += len(words)
+            waiting += words
+            if len(waiting) > 1 << 19:
+                hashes.append(word_hashes(waiting))
+                waiting = []
+        counts.append(n)
+    hashes.append(word_hashes(waiting))
+    return np.concatenate(hashes).astype(np.uint64), np.r_[0, np.cumsum(counts)].astype(np.int64)
+
+
+def second_level(texts: DataFrame, shape: Shape) -> DataFrame:
+    """FILED: the level 1 survivors extended to twice their length, with the words of the full windows around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in cuts(batches, shape, words_of):
+            yield from filed(cut, shape)
+
+    return texts.mapInArrow(run, FILED)
+
+
+def third_level(survivors: DataFrame, shape: Shape) -> DataFrame:
+    """h1, h2, doc, start: every window of full length around a survivor of level 2, by 128 bits of its words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1 << 12):
+                batch = whole.slice(i, 1 << 12)
+                raw, starts = text_buffer(batch.column("data"))
+                tokens = np.frombuffer(raw.tobytes(), dtype=np.uint64)
+                row, step = spread(batch.column("count").to_numpy().astype(np.int64))
+                at = starts[row] // 8 + step
+                first = rolling(tokens, shape.window)[at]
+                second = rolling(mix64(tokens + np.uint64(BASE)), shape.window)[at]
+                yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
+
+    return survivors.select("doc", "start", "count", "data").mapInArrow(run, "h1 long, h2 long, doc long, start long")
+
+
+def doubling(texts: DataFrame, shape: Shape) -> DataFrame:
+    """doc, start, end of the windows that also start earlier, level by level."""
+    survivors = recurring(materialize(second_level(texts, shape)), "key")
+    windows = materialize(third_level(survivors, shape))
+    place = F.struct("doc", "start")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = windows.join(materialize(first).hint("merge"), ["h1", "h2"]).filter(place > F.col("first"))
+    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """FIELDS of every row: a word goes if a window of `window` words that covers it also starts earlier.
 
     Earlier is a smaller doc_id or the same document further up; a null doc_id comes last. Words are what
-    lies between ASCII white space; a null text has none. Kept words are joined by single spaces.
+    lies between ASCII white space; a null text has none. Kept words are joined by single spaces. Repeated rows
+    stand at one place, so neither is later; no rows give no rows; other columns may have any name. Words are
+    compared by 64 bits of their hashes, windows by 128 bits of these.
     """
     shape = Shape(window, max(1, window // 4))
 
     def finish(doc: pa.Array, text: pa.Array, stretches: list) -> pa.RecordBatch:
         out = []
         for t, gone in zip(text.cast(pa.binary()).to_pylist(), stretches, strict=True):
-            words = t.split()
-            n, left = len(words), words
-            if gone:
-                left, at = [], 0
-                for a, b in gone:
-                    left += words[at:a]
-                    at = b
-                left += words[at:]
-            kept = b" ".join(left)
-            out.append((n, n - len(left), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()))
+            n, removed, kept, ends = 0, 0, [], iter([*gone, (1 << 62, 1 << 62)])
+            a, b = next(ends)
+            for words in word_parts(t):
+                # The words of this part that lie in no stretch; a stretch may go on in the next part.
+                i, left = 0, []
+                while i < len(words):
+                    if n + i >= b:
+                        a, b = next(ends)
+                    elif n + i < a:
+                        j = min(len(words), a - n)
+                        left += words[i:j]
+                        i = j
+                    else:
+                        j = min(len(words), b - n)
+                        removed += j - i
+                        i = j
+                n += len(words)
+                if left:
+                    kept.append(b" ".join(left))
+            kept = b" ".join(kept)
+            out.append((n, removed, kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()))
         n, removed, kept, digest = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return repeated(docs, shape, words_of, doubling(window, shape.seed), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))
-
-
+    return repeated(docs, shape, words_of, lambda texts: doubling(texts, shape), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))

@@ -1,66 +1,78 @@
 """Suffix-array deduplication over bytes, by deep-shallow sorting.
 
-Suffixes are sorted by multikey quicksort, whose characters are eight bytes wide, to a shallow depth.
-Groups that are still tied there share a long prefix; a blind trie for each orders what is left of them
-up to the length that matters. Neighbours in that order with a common prefix of the full length are equal.
+Suffixes are sorted by multikey quicksort, whose characters are eight bytes wide, to a shallow depth: a group of
+suffixes that agree so far is parted in three by a pivot's character, the middle part goes on to the next character,
+and all groups take their step at once. Groups that are still tied at the shallow depth share a long prefix; a
+blind trie for each orders what is left of them up to the length that matters. Neighbours in that order with a
+common prefix of the full length are equal, and the later of them are covered.
+
+The suffixes are those of windows whose anchor's seed recurs (see repeats). Each task sorts those of its texts and
+sends on the first of equal ones; these are dealt to tasks by the bytes around their anchors and sorted again. Under
+a key with very many rows they are sorted in blocks first, and the first ones that are left are dealt by all bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import outer_id, text_buffer
-from .repeats import Shape, repeated
+from .common import materialize, outer_id, spread, text_buffer
+from .repeats import Cut, Shape, cuts, filed, firsts, merged, repeated, rolling, whole_groups
 
 LENGTH = 100
 SEED = 32
 #: Bytes to which multikey quicksort goes.
 SHALLOW = 64
+#: Rows under one key that one task sorts at once.
+KEY_ROWS = 4096
 FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 class BlindTrie:
-    """Strings of one length in order; inner nodes know where strings part, not what they have in common.
+    """Suffixes in order from one depth to another; nodes know where strings part, not what they have in common.
 
-    An inner node is (place, children by the byte there); a leaf is the list of the numbers of equal strings.
+    An inner node is (place, children by the byte there); a leaf is the list of the numbers of equal suffixes.
+    No string is kept: what must be compared is read where the first suffix of a leaf begins.
     """
 
-    def __init__(self):
-        self.root = None
-        self.text: dict[int, bytes] = {}
+    def __init__(self, raw: bytes, at: list[int], depth: int, length: int):
+        self.raw, self.at, self.depth, self.length, self.root = raw, at, depth, length, None
 
-    def insert(self, number: int, s: bytes) -> None:
-        self.text[number] = s
+    def insert(self, number: int) -> None:
+        raw, depth, length = self.raw, self.depth, self.length
+        mine = self.at[number]
         if self.root is None:
             self.root = [number]
             return
         node = self.root
         while type(node) is tuple:
-            node = node[1].get(s[node[0]]) or next(iter(node[1].values()))
-        like = self.text[node[0]]
+            node = node[1].get(raw[mine + node[0]]) or next(iter(node[1].values()))
+        other = self.at[node[0]]
+        like, s = raw[other + depth : other + length], raw[mine + depth : mine + length]
         if like == s:
             node.append(number)
             return
         differs = int.from_bytes(like, "big") ^ int.from_bytes(s, "big")
-        place = len(s) - (differs.bit_length() + 7) // 8
+        place = length - (differs.bit_length() + 7) // 8
         above, node = None, self.root
         while type(node) is tuple and node[0] < place:
-            above, node = node, node[1][s[node[0]]]
+            above, node = node, node[1][raw[mine + node[0]]]
         if type(node) is tuple and node[0] == place:
-            node[1][s[place]] = [number]
+            node[1][raw[mine + place]] = [number]
             return
-        parting = (place, {like[place]: node, s[place]: [number]})
+        parting = (place, {raw[other + place]: node, raw[mine + place]: [number]})
         if above is None:
             self.root = parting
         else:
-            above[1][s[above[0]]] = parting
+            above[1][raw[mine + above[0]]] = parting
 
     def leaves(self):
-        """The leaves in the order of their strings."""
+        """The leaves in the order of their suffixes."""
         stack = [self.root] if self.root is not None else []
         while stack:
             node = stack.pop()
@@ -78,69 +90,211 @@ def wide_characters(data: np.ndarray) -> np.ndarray:
     return wide
 
 
+def multikey_quicksort(wide: np.ndarray, at: np.ndarray, length: int, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of suffixes by their first `shallow` bytes, their ranks, and where in the order tied ones stand.
+
+    A group holds the suffixes that are not told apart yet and lie side by side in the order. Each round parts every
+    group in three by the character of its middle suffix at the group's depth; the part equal to the pivot goes one
+    character on. Groups of one suffix are done, and so are those that are tied at the shallow depth.
+    """
+    n = len(at)
+    order, rank = np.arange(n), np.zeros(n, dtype=np.int64)
+    todo, group, depth, tied = np.arange(n), np.zeros(n, np.int64), np.zeros(1, np.int64), [np.empty(0, np.int64)]
+    if not min(shallow, length):
+        return order, rank, todo
+    while len(todo):
+        first = np.flatnonzero(firsts(group))
+        size = np.diff(np.r_[first, len(group)])
+        number = np.repeat(np.arange(len(first)), size)
+        o = order[todo]
+        character = wide[at[o] + np.minimum(depth, length - 8)[number]]
+        pivot = character[first + size // 2][number]
+        side = (character > pivot).astype(np.int8) - (character < pivot).astype(np.int8)
+        by = np.argsort(number * 3 + side + 1, kind="stable")
+        o, side, number = o[by], side[by], number[by]
+        order[todo] = o
+        part = number * 3 + side + 1
+        new = firsts(part)
+        head = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        rank[o] = todo[head][which]
+        size = np.diff(np.r_[head, len(o)])
+        deeper = depth[number[head]] + np.where(side[head] == 0, 8, 0)
+        done = deeper >= min(shallow, length)
+        tied.append(todo[(done & (size > 1))[which]])
+        on = (~done & (size > 1))[which]
+        todo, group = todo[on], which[on]
+        depth = deeper[~done & (size > 1)]
+    return order, rank, np.sort(np.concatenate(tied))
+
+
 def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes of data that start `at` these places, compared up to `length` bytes, and their ranks.
 
     Equal suffixes have equal ranks. Every suffix must have `length` bytes, 8 at least.
     """
-    wide, n = wide_characters(data), len(at)
-    order, rank = np.arange(n), np.zeros(n, dtype=np.int64)
-    tied, depth = np.arange(n), 0
-    while depth < min(shallow, length) and len(tied):
-        place = min(depth, length - 8)
-        # Those in tied groups only, each group's suffixes at the places of the order that it holds.
-        o = order[tied]
-        character, group = wide[at[o] + place], rank[o]
-        by = np.lexsort((character, group))
-        o, character, group = o[by], character[by], group[by]
-        order[tied] = o
-        new = np.r_[True, (character[1:] != character[:-1]) | (group[1:] != group[:-1])]
-        first = np.flatnonzero(new)
-        rank[o] = tied[first][np.cumsum(new) - 1]
-        size = np.diff(np.r_[first, len(o)])
-        tied, depth = tied[np.repeat(size > 1, size)], place + 8
+    wide = wide_characters(data)
+    order, rank, tied = multikey_quicksort(wide, at, length, shallow)
+    depth = min(shallow, length)
     if depth < length and len(tied):
         o = order[tied]
-        new = np.r_[True, rank[o[1:]] != rank[o[:-1]]]
+        new = firsts(rank[o])
         first = np.flatnonzero(new)
-        # A group whose suffixes are equal to the end needs no trie.
+        # A group whose suffixes are equal to the end would be a trie of one leaf.
         head = o[first][np.cumsum(new) - 1]
         differs = np.zeros(len(o), dtype=bool)
         for place in [*range(depth, length - 8, 8), length - 8]:
             differs |= wide[at[o] + place] != wide[at[head] + place]
-        raw = data.tobytes()
+        raw, places = data.tobytes(), at.tolist()
         last = np.r_[first[1:], len(o)]
         for k in np.flatnonzero(np.logical_or.reduceat(differs, first)):
             i, j = int(first[k]), int(last[k])
-            members, trie = o[i:j], BlindTrie()
-            for number, a in enumerate(at[members].tolist()):
-                trie.insert(number, raw[a + depth : a + length])
+            trie = BlindTrie(raw, places, depth, length)
+            for number in o[i:j].tolist():
+                trie.insert(number)
             placed = i
             for leaf in trie.leaves():
-                which = members[leaf]
-                rank[which] = tied[placed]
-                order[tied[placed : placed + len(leaf)]] = which
+                rank[leaf] = tied[placed]
+                order[tied[placed : placed + len(leaf)]] = leaf
                 placed += len(leaf)
     return order, rank
 
 
+def neighbours(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows that start `at` these places of data, and stand at `place` of `doc`: those that have an equal one
+    at an earlier place, and those that are the first of their equals. The same place again is neither."""
+    _, rank = deep_shallow(data, at, length)
+    by = np.lexsort((place, doc, rank))
+    new = firsts(rank[by])
+    head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    late, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    late[by] = (doc[by] != doc[head]) | (place[by] != place[head])
+    first[by[new]] = True
+    return late, first
+
+
+#: FILED rows for the next sort, and (data null) what is covered: doc, start and, as key, the end.
+STEP = "key long, doc long, start long, count int, data binary"
+
+
+def covered(doc: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
+    d, start, end = merged(doc, place, place + window)
+    return pa.RecordBatch.from_arrays([pa.array(end), pa.array(d), pa.array(start), pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.binary())], names=["key", "doc", "start", "count", "data"])
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(column)
 
 
-def suffix_names(length: int):
-    def order(data: pa.Array, row: np.ndarray, step: np.ndarray) -> np.ndarray:
-        raw, starts = text_buffer(data)
-        return deep_shallow(raw, starts[row] + step, length)[1]
+def sorted_texts(texts: DataFrame, shape: Shape) -> DataFrame:
+    """STEP: each task sorts the windows of its texts' anchors and files the first of equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in cuts(batches, shape, bytes_of):
+            anchor, step = spread(cut.hi - cut.lo + 1)
+            doc, place = cut.doc[anchor], cut.lo[anchor] + step
+            late, first = neighbours(cut.tokens, cut.origin[anchor] + place, doc, place, shape.window)
+            yield covered(doc[late], place[late], shape.window)
+            yield from filed(cut, shape, first)
+
+    return texts.mapInArrow(run, STEP)
+
+
+def sorted_group(group: pa.Table, shape: Shape) -> tuple[np.ndarray, ...]:
+    """doc, place, late, first of all windows of FILED rows, and where each begins in the rows' bytes."""
+    raw, starts = text_buffer(group.column("data"))
+    row, step = spread(group.column("count").to_numpy().astype(np.int64))
+    doc, place, at = group.column("doc").to_numpy()[row], group.column("start").to_numpy()[row] + step, starts[row] + step
+    late, first = neighbours(raw, at, doc, place, shape.window)
+    return raw, at, doc, place, late, first
+
+
+def sorted_keys(filed_: DataFrame, shape: Shape) -> DataFrame:
+    """STEP, covered only: whole keys are sorted in one task."""
+    placed = filed_.repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "key"):
+            key = group.column("key").to_numpy()
+            number = np.cumsum(firsts(key)) - 1
+            shared = np.flatnonzero(np.bincount(number)[number] > 1)
+            for i, j in key_ranges(number[shared]):
+                _, _, doc, place, late, _ = sorted_group(group.take(pa.array(shared[i:j])), shape)
+                yield covered(doc[late], place[late], shape.window)
+
+    return placed.mapInArrow(run, STEP)
+
+
+def sorted_blocks(filed_: DataFrame, shape: Shape) -> DataFrame:
+    """STEP: the rows of crowded keys, sorted in blocks; the first windows of each block go on, one a row, dealt by all their bytes.
+
+    filed_ has a column `block`. After this the rows of one string are as many as blocks, not as copies.
+    """
+    placed = filed_.repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in whole_groups(batches, "block"):
+            block = groups.column("block").to_numpy()
+            for i, j in key_ranges(np.cumsum(firsts(block)) - 1):
+                raw, at, doc, place, late, first = sorted_group(groups.slice(i, j - i), shape)
+                yield covered(doc[late], place[late], shape.window)
+                at, doc, place = at[first], doc[first], place[first]
+                if not len(at):
+                    continue
+                key = rolling(raw, shape.window)[at]
+                for x in range(0, len(at), 1 << 14):
+                    some = at[x : x + (1 << 14)]
+                    one = Cut(raw, doc[x : x + (1 << 14)], some, place[x : x + (1 << 14)], place, place)
+                    yield single_windows(one, key[x : x + (1 << 14)], shape)
+
+    return placed.mapInArrow(run, STEP)
+
+
+def single_windows(cut: Cut, key: np.ndarray, shape: Shape) -> pa.RecordBatch:
+    """FILED rows of one window each: cut.origin is where each window begins, cut.at where it stands in its document."""
+    n = len(key)
+    data = cut.tokens[cut.origin[:, None] + np.arange(shape.window)].tobytes()
+    ends = (np.arange(n + 1) * shape.window).astype(np.int32)
+    part = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cut.doc), pa.array(cut.at), pa.array(np.ones(n, np.int32)), part], names=["key", "doc", "start", "count", "data"])
+
+
+def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` rows that part no key."""
+    bounds = np.r_[np.flatnonzero(firsts(number)), len(number)]
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
+        yield int(bounds[i]), int(bounds[j])
+        i = j
+
 
-    return order
+def suffix_sorted(texts: DataFrame, shape: Shape) -> DataFrame:
+    """doc, start, end of the windows that also start earlier."""
+    local = materialize(sorted_texts(texts, shape))
+    first = local.filter("data is not null")
+    done = [local.filter("data is null")]
+    crowded = materialize(first.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ROWS))
+    if crowded.isEmpty():
+        done.append(materialize(sorted_keys(first, shape)))
+    else:
+        done.append(materialize(sorted_keys(first.join(crowded.hint("merge"), "key", "left_anti"), shape)))
+        blocks = F.ceil(F.col("n") / KEY_ROWS)
+        dealt = first.join(crowded.hint("merge"), "key").withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("doc", "start"), blocks)))
+        in_blocks = materialize(sorted_blocks(dealt.drop("n"), shape))
+        done += [in_blocks.filter("data is null"), materialize(sorted_keys(in_blocks.filter("data is not null"), shape))]
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("doc", "start", F.col("key").alias("end"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """FIELDS of every row: a byte goes if a string of `length` bytes that covers it also starts earlier.
 
     Earlier is a smaller doc_id or the same document further up; a null doc_id comes last. Texts are UTF-8
-    bytes, a null text is empty, and what is kept may part characters.
+    bytes, a null text is empty, and what is kept may part characters. Repeated rows stand at one place, so
+    neither is later; no rows give no rows; other columns may have any name.
     """
 
     def finish(doc: pa.Array, text: pa.Array, stretches: list) -> pa.RecordBatch:
@@ -155,4 +309,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
         n, removed, spans, kept, digest = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return repeated(docs, Shape(length, seed, True), bytes_of, suffix_names(length), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))
+    shape = Shape(length, seed)
+    return repeated(docs, shape, bytes_of, lambda texts: suffix_sorted(texts, shape), finish, FIELDS).withColumn("doc_id", outer_id("doc_id"))

@@ -18,6 +18,8 @@ from .common import by_bytes, worker_state
 
 #: Pieces whose encodings a worker remembers; beyond, it forgets all and starts anew.
 CACHE_PIECES = 700_000
+#: Characters up to which a piece is remembered, so that the memory is bounded in bytes too.
+LONGEST_KEPT = 64
 #: Bytes of pieces given to the library in one call.
 ENCODE_BYTES = 1 << 18
 #: Bytes from which a text is cut at safe boundaries in parts before it is split into pieces.
@@ -45,13 +47,14 @@ def encodings(kind: str, path: str) -> Encodings:
 
 
 def balanced(pieces: list[str], most: int = ENCODE_BYTES) -> Iterator[list[str]]:
-    """Batches of about `most` characters each."""
+    """Batches of about `most` UTF-8 bytes each."""
     start = size = 0
     for i, piece in enumerate(pieces):
-        if size and size + len(piece) > most:
+        n = len(piece) if piece.isascii() else len(piece.encode())
+        if size and size + n > most:
             yield pieces[start:i]
             start, size = i, 0
-        size += len(piece)
+        size += n
     if start < len(pieces):
         yield pieces[start:]
 
@@ -100,11 +103,15 @@ class Encodings:
             return list(map(self.new.__getitem__, pieces))
         except KeyError:
             distinct = dict.fromkeys(pieces)
+            large = [p for p in distinct if len(p) > LONGEST_KEPT]
             missing = [p for p in distinct if p not in self.new]
             if len(self.new) + len(missing) > CACHE_PIECES:
                 self.old, self.new, missing = self.new, {}, list(distinct)
             self.learn(missing)
-            return list(map(self.new.__getitem__, pieces))
+            found = list(map(self.new.__getitem__, pieces))
+            for p in large:
+                del self.new[p]
+            return found
 
     def learn(self, missing: list[str]) -> None:
         parts = {}
@@ -118,29 +125,32 @@ class Encodings:
             if x in self.old:
                 self.new[x] = self.old[x]
         unknown = [x for x in unknown if x not in self.new]
+        large = [x for x in unknown if len(x) > LONGEST_KEPT and x not in parts]
         for batch in balanced(unknown):
             for x, code in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
                 self.new[x] = self.value(code)
         for p, xs in parts.items():
             if len(xs) > 1 or xs[0] != p:
                 self.new[p] = b"".join(map(self.new.__getitem__, xs)) if self.fold else sum(map(self.new.__getitem__, xs))
+        for x in large:
+            del self.new[x]
+
 
+def safe_parts(text: str, longest: int = LONG_TEXT, cut: re.Pattern = BYTE_LEVEL) -> Iterator[str]:
+    """Parts of about `longest` characters, cut where `cut` matches, as the pieces of a text are.
 
-def safe_parts(text: str, longest: int = LONG_TEXT) -> Iterator[str]:
-    """Parts of about `longest` characters, cut at single spaces between two ASCII letters."""
+    A run of letters without white space has no such place, as its merges may go through all of it.
+    """
     start = 0
     while len(text) - start > longest:
-        cut = SAFE.search(text, start + longest)
-        if not cut:
+        found = cut.search(text, start + longest)
+        if not found:
             break
-        yield text[start : cut.start() + 1]
-        start = cut.start() + 1
+        yield text[start : found.end()]
+        start = found.end()
     yield text[start:] if start else text
 
 
-SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
-
-
 def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
     """Tokens of each text under a byte-level tokenizer file."""
     known = encodings("count", path)
@@ -150,7 +160,8 @@ def count_tokens(texts: list[str | None], path: str) -> np.ndarray:
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """Columns `keep`, n_bytes, n_tokens, over_limit of every row; no shuffle, lengths only leave Python.
 
-    A null or empty text has 0 bytes and 0 tokens. Repeated rows each get a row. Other columns are ignored.
+    A null or empty text has 0 bytes and 0 tokens. Repeated rows each get a row, no rows give no rows. Columns
+    besides `keep` are ignored, whatever their names.
     """
     source = docs.select(*keep, docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
@@ -175,4 +186,5 @@ def word_ids(text: str, path: str) -> bytes:
 
     White space separates whatever that tokenizer makes, so the runs between it are encoded one by one.
     """
-    return b"".join(encodings("ids", path).of(spaced_pieces(text)))
+    known = encodings("ids", path)
+    return b"".join(b"".join(known.of(spaced_pieces(part))) for part in safe_parts(text, cut=SPACE))

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gneiss.llm import components, language, lines, minhash, mixing, packing, queries, repeats, simhash, substrings, suffixes, tokens, vectors
+from gneiss.llm import common, components, language, lines, minhash, mixing, packing, queries, repeats, simhash, substrings, suffixes, tokens, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint int, size string, component_id string, block int, __x int"
 
@@ -122,18 +123,44 @@ def test_dense_repeats_over_a_small_alphabet(spark):
     assert found == brute.strings(enumerate(texts), 14)
 
 
-def test_frequent_seeds_and_crowded_keys(spark, monkeypatch):
-    """The ways for hot groups, forced on small ones, give the same results."""
-    for name, value in (("SAMPLED", 1), ("SEEN", 2), ("KEY_ROWS", 3)):
-        monkeypatch.setattr(repeats, name, value)
+def test_crowded_keys(spark, monkeypatch):
+    """The way for hot groups, forced on small ones, gives the same results."""
+    monkeypatch.setattr(suffixes, "KEY_ROWS", 3)
     rnd = random.Random(11)
     line = " ".join(f"hot{i}" for i in range(12))
     texts = [f"{' '.join(words(rnd, 15, 500))} {line} {' '.join(words(rnd, 15, 500))}" for _ in range(40)]
-    texts += texts[:5] + [t.replace("w1", "v1") for t in texts[:10]]
-    assert len(repeats.frequent_seeds(docs_of(spark, texts).selectExpr("doc_id doc", "text"), repeats.Shape(20, 5), substrings.words_of)) > 2
-    found = by_doc(substrings.substring_dedup(docs_of(spark, texts)), "n_words", "n_removed", "kept_sha256")
+    texts += texts[:5] + [t.replace("w1", "v1") for t in texts[:10]] + [texts[0]] * 9
+    df = docs_of(spark, texts).repartition(6)
+    assert by_doc(suffixes.suffix_dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.strings(enumerate(texts))
+    found = by_doc(substrings.substring_dedup(df), "n_words", "n_removed", "kept_sha256")
     assert found == {d: (w[0], w[1], w[3]) for d, w in brute.words(enumerate(texts)).items()}
+
+
+@pytest.mark.parametrize("limits", [(50, 1 << 19), (1 << 21, 40)])
+def test_anchors_are_cut_out_in_parts(spark, monkeypatch, limits):
+    monkeypatch.setattr(repeats, "CUT_TOKENS", limits[0])
+    monkeypatch.setattr(repeats, "CUT_WINDOWS", limits[1])
+    rnd = random.Random(12)
+    texts = [" ".join(words(rnd, 90, 6)) for _ in range(8)]
+    texts += texts[:3] + [texts[4][20:160] + texts[5]]
     assert by_doc(suffixes.suffix_dedup(docs_of(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.strings(enumerate(texts))
+    found = by_doc(substrings.substring_dedup(docs_of(spark, texts), 8), "n_words", "n_removed", "kept_sha256")
+    assert found == {d: (w[0], w[1], w[3]) for d, w in brute.words(enumerate(texts), 8).items()}
+
+
+def test_every_repeat_comes_out_of_the_method(spark):
+    """What is removed was met as neighbours in a sorted suffix array, or survived all levels; nothing is settled before."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.selectExpr("doc_id doc", "coalesce(text, '') text")
+    for shape, tokenize, method, operator in (
+        (repeats.Shape(100, 32), suffixes.bytes_of, suffixes.suffix_sorted, suffixes.suffix_dedup),
+        (repeats.Shape(20, 5), substrings.words_of, substrings.doubling, substrings.substring_dedup),
+    ):
+        listed = repeats.recurring(common.materialize(repeats.scan(rows, shape, tokenize)), "seed").groupBy("doc").agg(F.collect_list("place").alias("places"))
+        gone = set()
+        for r in method(rows.join(listed, "doc"), shape).collect():
+            gone |= {(r["doc"], i) for i in range(r["start"], r["end"])}
+        assert len(gone) == sum(r["n_removed"] for r in operator(docs).collect()) > 1000
 
 
 def test_documents_longer_than_a_part(spark, monkeypatch):
