@@ -210,6 +210,10 @@ def cuts(batches: Iterator[pa.RecordBatch], shape: Shape, tokenize: Callable) ->
     """The anchors listed in `places` of every text, some at a time; `origin` is where a document begins in the run of tokens."""
     for whole in batches:
         for batch in by_bytes(whole, "text"):
+            # Anchors in the order of their places, so that what keeps their order meets the earliest first.
+            by = np.argsort(batch.column("doc").to_numpy(), kind="stable")
+            if (by[1:] < by[:-1]).any():
+                batch = batch.take(pa.array(by))
             tokens, starts = tokenize(batch.column("text"))
             ids = batch.column("doc").to_numpy()
             lists = batch.column("places")
@@ -232,17 +236,27 @@ def cuts(batches: Iterator[pa.RecordBatch], shape: Shape, tokenize: Callable) ->
                 i = j
 
 
-FILED = "key long, doc long, start long, count int, data binary"
+FILED = "key long, doc long, start long, count int, shift int, data binary"
+
+
+def anchor_keys(cut: Cut, shape: Shape) -> np.ndarray:
+    """The keys of a cut's anchors for windows that reach at least shape.half tokens left of them, and then those for
+    others: the hash of the tokens from there to the seed's end, and of the seed and as many tokens right of it."""
+    long = rolling(cut.tokens, shape.seed + shape.half)
+    at = cut.origin + cut.at
+    # An anchor that has no such window may have no such tokens.
+    left, right = (long[np.clip(x, 0, len(long) - 1)] for x in (at - shape.half, at))
+    return np.r_[left ^ np.uint64(0x5555), right]
 
 
 def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """FILED: the windows of a cut's anchors, under the seed's extension to the left or right.
 
-    A window that reaches at least shape.half tokens left of its anchor is filed under the tokens from there
-    to the seed's end, any other under the seed and as many tokens right of it. data holds the tokens from
-    the first of `count` windows to the end of the last. With `alive`, one flag for each window of each anchor,
-    only those set are filed, and a row holds windows without a gap.
+    data holds the tokens from the first of `count` windows to the end of the last, and the anchor lies `shift`
+    tokens after its start. With `alive`, one flag for each window of each anchor, only those set are filed, and a
+    row holds windows without a gap.
     """
+    key = anchor_keys(cut, shape)
     anchor, step = spread(cut.hi - cut.lo + 1)
     if alive is not None:
         anchor, step = anchor[alive], step[alive]
@@ -254,16 +268,16 @@ def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None) -> Iterator[p
         return
     count = np.diff(np.r_[head, len(place)])
     anchor, left, first = anchor[head], left[head], place[head]
-    long = rolling(cut.tokens, shape.seed + shape.half)
-    key = long[cut.origin[anchor] + cut.at[anchor] - np.where(left, shape.half, 0)] ^ np.where(left, np.uint64(0x5555), np.uint64(0))
-    size, cell = count + shape.window - 1, cut.tokens.itemsize
+    key = key[np.where(left, anchor, anchor + len(cut.at))]
+    size, cell, shift = count + shape.window - 1, cut.tokens.itemsize, (cut.at[anchor] - first).astype(np.int32)
     for i in range(0, len(key), 1 << 13):
         j = min(len(key), i + (1 << 13))
         which, at = spread(size[i:j])
         data = cut.tokens[(cut.origin[anchor[i:j]] + first[i:j])[which] + at].tobytes()
         ends = np.r_[0, np.cumsum(size[i:j] * cell)].astype(np.int32)
         part = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(key[i:j].view(np.int64)), pa.array(cut.doc[anchor[i:j]]), pa.array(first[i:j]), pa.array(count[i:j].astype(np.int32)), part], names=["key", "doc", "start", "count", "data"])
+        columns = [pa.array(key[i:j].view(np.int64)), pa.array(cut.doc[anchor[i:j]]), pa.array(first[i:j]), pa.array(count[i:j].astype(np.int32)), pa.array(shift[i:j]), part]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, outer_id, spread, text_buffer
-from .repeats import Cut, Shape, cuts, filed, firsts, merged, repeated, rolling, whole_groups
+from .repeats import FILED, Shape, anchor_keys, cuts, filed, firsts, merged, repeated, rolling, whole_groups
 
 LENGTH = 100
 SEED = 32
@@ -90,96 +90,109 @@ def wide_characters(data: np.ndarray) -> np.ndarray:
     return wide
 
 
-def multikey_quicksort(wide: np.ndarray, at: np.ndarray, length: int, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of suffixes by their first `shallow` bytes, their ranks, and where in the order tied ones stand.
+def multikey_quicksort(wide: np.ndarray, at: np.ndarray, order: np.ndarray, size: np.ndarray, length: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the suffixes of each group by their first `shallow` bytes, in place in `order`; equal ones keep their order.
 
-    A group holds the suffixes that are not told apart yet and lie side by side in the order. Each round parts every
-    group in three by the character of its middle suffix at the group's depth; the part equal to the pivot goes one
-    character on. Groups of one suffix are done, and so are those that are tied at the shallow depth.
+    Groups of the given sizes lie side by side in `order`. Each round parts every group in three by the character of
+    its middle suffix at the group's depth; the part equal to the pivot goes one character on. Groups of one suffix
+    are done, and so are those that are tied at the shallow depth: their places and sizes come back.
     """
-    n = len(at)
-    order, rank = np.arange(n), np.zeros(n, dtype=np.int64)
-    todo, group, depth, tied = np.arange(n), np.zeros(n, np.int64), np.zeros(1, np.int64), [np.empty(0, np.int64)]
-    if not min(shallow, length):
-        return order, rank, todo
-    while len(todo):
-        first = np.flatnonzero(firsts(group))
-        size = np.diff(np.r_[first, len(group)])
-        number = np.repeat(np.arange(len(first)), size)
+    least = min(shallow, length)
+    places, sizes = [], []
+    head = np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
+    depth = np.zeros(len(size), np.int64)
+    while True:
+        done = depth >= least
+        places.append(head[done & (size > 1)])
+        sizes.append(size[done & (size > 1)])
+        on = ~done & (size > 1)
+        head, size, depth = head[on], size[on], depth[on]
+        if not len(head):
+            break
+        first = np.cumsum(size) - size
+        todo = np.repeat(head - first, size) + np.arange(int(size.sum()))
         o = order[todo]
-        character = wide[at[o] + np.minimum(depth, length - 8)[number]]
-        pivot = character[first + size // 2][number]
+        character = wide[at[o] + np.repeat(np.minimum(depth, length - 8), size)]
+        pivot = np.repeat(character[first + size // 2], size)
         side = (character > pivot).astype(np.int8) - (character < pivot).astype(np.int8)
-        by = np.argsort(number * 3 + side + 1, kind="stable")
-        o, side, number = o[by], side[by], number[by]
-        order[todo] = o
-        part = number * 3 + side + 1
-        new = firsts(part)
-        head = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        rank[o] = todo[head][which]
-        size = np.diff(np.r_[head, len(o)])
-        deeper = depth[number[head]] + np.where(side[head] == 0, 8, 0)
-        done = deeper >= min(shallow, length)
-        tied.append(todo[(done & (size > 1))[which]])
-        on = (~done & (size > 1))[which]
-        todo, group = todo[on], which[on]
-        depth = deeper[~done & (size > 1)]
-    return order, rank, np.sort(np.concatenate(tied))
-
-
-def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes of data that start `at` these places, compared up to `length` bytes, and their ranks.
-
-    Equal suffixes have equal ranks. Every suffix must have `length` bytes, 8 at least.
+        part = np.repeat(np.arange(1, 3 * len(size), 3), size) + side
+        if side.any():
+            by = np.argsort(part, kind="stable")
+            order[todo], part = o[by], part[by]
+        new = np.flatnonzero(firsts(part))
+        parent, middle = part[new] // 3, part[new] % 3 == 1
+        head = head[parent] + new - first[parent]
+        size = np.diff(np.r_[new, len(part)])
+        depth = depth[parent] + 8 * middle
+    return np.concatenate(places), np.concatenate(sizes)
+
+
+def deep_shallow(data: np.ndarray, at: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes of data that start `at` these places, compared up to `length` bytes, and in it the
+    places where suffixes begin that differ from the one before.
+
+    With `group`, suffixes of one number lie side by side and only these are compared; equal suffixes keep the
+    order they were given in. Every suffix must have `length` bytes, 8 at least.
     """
+    n = len(at)
+    if group is None:
+        order, begins = np.arange(n), np.arange(min(n, 1))
+    else:
+        order = np.argsort(group, kind="stable")
+        begins = np.flatnonzero(firsts(group[order]))
     wide = wide_characters(data)
-    order, rank, tied = multikey_quicksort(wide, at, length, shallow)
+    head, size = multikey_quicksort(wide, at, order, np.diff(np.r_[begins, n]), length, shallow)
     depth = min(shallow, length)
+    new = np.ones(n, dtype=bool)
+    first = np.cumsum(size) - size
+    tied = np.repeat(head - first, size) + np.arange(int(size.sum()))
+    new[tied] = False
+    new[head] = True
     if depth < length and len(tied):
-        o = order[tied]
-        new = firsts(rank[o])
-        first = np.flatnonzero(new)
         # A group whose suffixes are equal to the end would be a trie of one leaf.
-        head = o[first][np.cumsum(new) - 1]
-        differs = np.zeros(len(o), dtype=bool)
+        here, like = at[order[tied]], np.repeat(at[order[head]], size)
+        differs = np.zeros(len(tied), dtype=bool)
         for place in [*range(depth, length - 8, 8), length - 8]:
-            differs |= wide[at[o] + place] != wide[at[head] + place]
+            differs |= wide[here + place] != wide[like + place]
         raw, places = data.tobytes(), at.tolist()
-        last = np.r_[first[1:], len(o)]
         for k in np.flatnonzero(np.logical_or.reduceat(differs, first)):
-            i, j = int(first[k]), int(last[k])
+            i, j = int(head[k]), int(head[k] + size[k])
             trie = BlindTrie(raw, places, depth, length)
-            for number in o[i:j].tolist():
+            for number in order[i:j].tolist():
                 trie.insert(number)
-            placed = i
             for leaf in trie.leaves():
-                rank[leaf] = tied[placed]
-                order[tied[placed : placed + len(leaf)]] = leaf
-                placed += len(leaf)
-    return order, rank
+                order[i : i + len(leaf)] = leaf
+                new[i] = True
+                i += len(leaf)
+    return order, np.flatnonzero(new)
 
 
-def neighbours(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(data: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of windows that start `at` these places of data, and stand at `place` of `doc`: those that have an equal one
-    at an earlier place, and those that are the first of their equals. The same place again is neither."""
-    _, rank = deep_shallow(data, at, length)
-    by = np.lexsort((place, doc, rank))
-    new = firsts(rank[by])
-    head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    at an earlier place, and those that are the first of their equals. The same place again is neither.
+
+    Windows of one group must come in the order of their places.
+    """
+    order, begins = deep_shallow(data, at, length, group=group)
+    head = np.repeat(order[begins], np.diff(np.r_[begins, len(order)]))
     late, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    late[by] = (doc[by] != doc[head]) | (place[by] != place[head])
-    first[by[new]] = True
+    late[order] = (doc[order] != doc[head]) | (place[order] != place[head])
+    first[order[begins]] = True
     return late, first
 
 
+def groups_of(key: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A number for each (key, offset of the anchor in the window): equal windows agree in both."""
+    return (np.unique(key, return_inverse=True)[1] << 8) | offset
+
+
 #: FILED rows for the next sort, and (data null) what is covered: doc, start and, as key, the end.
-STEP = "key long, doc long, start long, count int, data binary"
+STEP = FILED
 
 
 def covered(doc: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
     d, start, end = merged(doc, place, place + window)
-    return pa.RecordBatch.from_arrays([pa.array(end), pa.array(d), pa.array(start), pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.binary())], names=["key", "doc", "start", "count", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(end), pa.array(d), pa.array(start), pa.array(np.zeros(len(d), np.int32)), pa.array(np.zeros(len(d), np.int32)), pa.nulls(len(d), pa.binary())], names=["key", "doc", "start", "count", "shift", "data"])
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +204,12 @@ def sorted_texts(texts: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in cuts(batches, shape, bytes_of):
+            key = anchor_keys(cut, shape)
             anchor, step = spread(cut.hi - cut.lo + 1)
             doc, place = cut.doc[anchor], cut.lo[anchor] + step
-            late, first = neighbours(cut.tokens, cut.origin[anchor] + place, doc, place, shape.window)
+            offset = cut.at[anchor] - place
+            group = groups_of(key[np.where(offset >= shape.half, anchor, anchor + len(cut.at))], offset)
+            late, first = neighbours(cut.tokens, cut.origin[anchor] + place, group, doc, place, shape.window)
             yield covered(doc[late], place[late], shape.window)
             yield from filed(cut, shape, first)
 
@@ -201,17 +217,19 @@ def sorted_texts(texts: DataFrame, shape: Shape) -> DataFrame:
 
 
 def sorted_group(group: pa.Table, shape: Shape) -> tuple[np.ndarray, ...]:
-    """doc, place, late, first of all windows of FILED rows, and where each begins in the rows' bytes."""
+    """Of FILED rows in the order of doc and start within a key: the bytes, and of all windows key, offset of the
+    anchor, where they begin in the bytes, doc, place, late and first."""
     raw, starts = text_buffer(group.column("data"))
     row, step = spread(group.column("count").to_numpy().astype(np.int64))
     doc, place, at = group.column("doc").to_numpy()[row], group.column("start").to_numpy()[row] + step, starts[row] + step
-    late, first = neighbours(raw, at, doc, place, shape.window)
-    return raw, at, doc, place, late, first
+    key, offset = group.column("key").to_numpy()[row], group.column("shift").to_numpy()[row] - step
+    late, first = neighbours(raw, at, groups_of(key, offset), doc, place, shape.window)
+    return raw, key, offset, at, doc, place, late, first
 
 
 def sorted_keys(filed_: DataFrame, shape: Shape) -> DataFrame:
     """STEP, covered only: whole keys are sorted in one task."""
-    placed = filed_.repartition("key").sortWithinPartitions("key")
+    placed = filed_.repartition("key").sortWithinPartitions("key", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key"):
@@ -219,7 +237,7 @@ def sorted_keys(filed_: DataFrame, shape: Shape) -> DataFrame:
             number = np.cumsum(firsts(key)) - 1
             shared = np.flatnonzero(np.bincount(number)[number] > 1)
             for i, j in key_ranges(number[shared]):
-                _, _, doc, place, late, _ = sorted_group(group.take(pa.array(shared[i:j])), shape)
+                *_, doc, place, late, _ = sorted_group(group.take(pa.array(shared[i:j])), shape)
                 yield covered(doc[late], place[late], shape.window)
 
     return placed.mapInArrow(run, STEP)
@@ -230,33 +248,29 @@ def sorted_blocks(filed_: DataFrame, shape: Shape) -> DataFrame:
 
     filed_ has a column `block`. After this the rows of one string are as many as blocks, not as copies.
     """
-    placed = filed_.repartition("block").sortWithinPartitions("block")
+    placed = filed_.repartition("block").sortWithinPartitions("block", "key", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in whole_groups(batches, "block"):
             block = groups.column("block").to_numpy()
             for i, j in key_ranges(np.cumsum(firsts(block)) - 1):
-                raw, at, doc, place, late, first = sorted_group(groups.slice(i, j - i), shape)
+                raw, _, offset, at, doc, place, late, first = sorted_group(groups.slice(i, j - i), shape)
                 yield covered(doc[late], place[late], shape.window)
-                at, doc, place = at[first], doc[first], place[first]
-                if not len(at):
-                    continue
-                key = rolling(raw, shape.window)[at]
+                at, doc, place, offset = at[first], doc[first], place[first], offset[first]
+                key = rolling(raw, shape.window)[at] if len(at) else at
                 for x in range(0, len(at), 1 << 14):
-                    some = at[x : x + (1 << 14)]
-                    one = Cut(raw, doc[x : x + (1 << 14)], some, place[x : x + (1 << 14)], place, place)
-                    yield single_windows(one, key[x : x + (1 << 14)], shape)
+                    yield single_windows(raw, *(c[x : x + (1 << 14)] for c in (at, key, doc, place, offset)), shape.window)
 
     return placed.mapInArrow(run, STEP)
 
 
-def single_windows(cut: Cut, key: np.ndarray, shape: Shape) -> pa.RecordBatch:
-    """FILED rows of one window each: cut.origin is where each window begins, cut.at where it stands in its document."""
+def single_windows(raw: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, offset: np.ndarray, window: int) -> pa.RecordBatch:
+    """FILED rows of one window each."""
     n = len(key)
-    data = cut.tokens[cut.origin[:, None] + np.arange(shape.window)].tobytes()
-    ends = (np.arange(n + 1) * shape.window).astype(np.int32)
-    part = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cut.doc), pa.array(cut.at), pa.array(np.ones(n, np.int32)), part], names=["key", "doc", "start", "count", "data"])
+    data = raw[at[:, None] + np.arange(window)].tobytes()
+    part = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * window).astype(np.int32).tobytes()), pa.py_buffer(data)])
+    columns = [pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(np.ones(n, np.int32)), pa.array(offset.astype(np.int32)), part]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
 
 
 def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int]]:

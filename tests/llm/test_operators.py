@@ -181,14 +181,16 @@ def test_repeated_rows_and_null_ids_are_no_later_places(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=200).map(lambda b: bytes(x % 3 for x in b)), st.integers(8, 20))
 def test_deep_shallow_order(data, length):
-    """Equal to Python's own sort, with and without the tries at work."""
+    """Equal to Python's own stable sort, with and without the tries at work, within groups and without."""
     raw = np.frombuffer(data + bytes(length), dtype=np.uint8)
     at = np.arange(len(data))
+    keys = [raw.tobytes()[i : i + length] for i in range(len(data))]
     for shallow in (8, 16, length):
-        order, rank = suffixes.deep_shallow(raw, at, length, shallow)
-        keys = [raw.tobytes()[i : i + length] for i in range(len(data))]
-        assert [keys[i] for i in order] == sorted(keys)
-        assert all((keys[a] == keys[b]) == (rank[a] == rank[b]) for a in range(0, len(data), 7) for b in range(len(data)))
+        for group in (None, at % 3):
+            order, begins = suffixes.deep_shallow(raw, at, length, shallow, group)
+            full = [(0 if group is None else i % 3, keys[i]) for i in range(len(data))]
+            assert order.tolist() == sorted(range(len(data)), key=lambda i: full[i])
+            assert begins.tolist() == [k for k in range(len(order)) if not k or full[order[k]] != full[order[k - 1]]]
 
 
 def test_packing_is_gapless_whole_and_tight(docs, texts):
