@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import sys
 import tempfile
@@ -68,6 +69,19 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that have been read, and let Spark drop the shuffle files of the steps before.
+
+    Spark drops these when the driver's collector finds that nothing refers to them, which may be long after.
+    """
+    paths = [t._gneiss_path for t in tables]
+    for open_scope in worker_state().setdefault("scopes", []):
+        open_scope[:] = [p for p in open_scope if p not in paths]
+    discard(spark, paths)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables written inside but for those that keep() hands on."""

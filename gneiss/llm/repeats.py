@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_bytes, keep, materialize, mix64, scratch, spread, text_buffer
+from .common import NO_ID, by_bytes, keep, materialize, mix64, release, scratch, spread
 
 #: Low bits of a sort key that hold a position; a chunk of tokens is shorter than 2 ** POSITION.
 POSITION = 24
@@ -191,6 +191,7 @@ def recurring(found: DataFrame, *keys: str) -> DataFrame:
     at a hot key: no task holds a key's rows.
     """
     several = materialize(found.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    release(found.sparkSession)
     return found.join(several.hint("merge"), list(keys), "left_semi")
 
 
@@ -280,6 +281,36 @@ def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None) -> Iterator[p
         yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
 
 
+#: Rows under one key that one task takes at once.
+KEY_ROWS = 4096
+
+
+def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` rows that part no key."""
+    bounds = np.r_[np.flatnonzero(firsts(number)), len(number)]
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
+        yield int(bounds[i]), int(bounds[j])
+        i = j
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of FILED rows sorted by key those whose key comes more than once, whole keys at a time."""
+    for group in whole_groups(batches, "key"):
+        number = np.cumsum(firsts(group.column("key").to_numpy())) - 1
+        several = np.flatnonzero(np.bincount(number)[number] > 1)
+        for i, j in key_ranges(number[several]):
+            yield group.take(pa.array(several[i:j]))
+
+
+def crowded_keys(rows_: DataFrame) -> DataFrame:
+    """key, n of keys with more than KEY_ROWS rows."""
+    found = materialize(rows_.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ROWS))
+    release(rows_.sparkSession)
+    return found
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """id (null where doc_id is), doc, text: doc orders rows by id; texts without an id come last, each a place of its own by its hash."""
     rows_ = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -308,11 +339,15 @@ def repeated(docs: DataFrame, shape: Shape, tokenize: Callable, method: Callable
     """
     named = identified(docs)
     source = named.select("doc", "text")
-    with scratch(docs.sparkSession):
-        listed = recurring(materialize(scan(source, shape, tokenize)), "seed").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = materialize(scan(source, shape, tokenize))
+        listed = materialize(recurring(found, "seed").groupBy("doc").agg(F.collect_list("place").alias("places")))
+        release(spark, found)
         covered = method(source.join(listed.hint("merge"), "doc"))
         both = F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end")))
         stretches = keep(materialize(covered.groupBy("doc").agg(both.alias("stretches"))))
+    release(spark)
     joined = named.join(stretches.hint("merge"), "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

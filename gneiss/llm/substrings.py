@@ -2,9 +2,10 @@
 
 Level 1 looks at windows of a quarter of the length: of the seeds in each full window the one with the smallest
 hash, which loses no repeat. Those that come more than once are extended to either side to twice that length
-(level 2), and those that come more than once again are extended to the full length (level 3); each level reads
-the survivors of the one before and nothing else. Of the windows of full length that come more than once all
-but the earliest are removed.
+(level 2) and dealt to tasks by these; what comes more than once again is extended to the full length (level 3).
+Each level reads the survivors of the one before and nothing else. Of the windows of full length that come more
+than once all but the earliest are removed. Where very many survivors of level 2 are alike, their windows of full
+length are counted and joined instead of held in a task.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, outer_id, spread, text_buffer, word_parts
+from .common import materialize, mix64, outer_id, release, spread, text_buffer, word_parts
 from .minhash import word_hashes
-from .repeats import BASE, FILED, Shape, cuts, filed, recurring, repeated, rolling, rows
+from .repeats import BASE, FILED, Shape, crowded_keys, cuts, filed, firsts, merged, repeated, rolling, rows, shared_keys
 
 WINDOW = 20
 FIELDS = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
@@ -52,8 +53,51 @@ def second_level(texts: DataFrame, shape: Shape) -> DataFrame:
     return texts.mapInArrow(run, FILED)
 
 
+def names_of(tokens: np.ndarray, at: np.ndarray, window: int, length: int) -> np.ndarray:
+    """A number for the window of `window` tokens at each place: equal for equal windows, unique where nothing repeats.
+
+    Level by level a window's name stands for the names of two shorter ones that cover it; from `length` on, windows
+    that begin with a part that no other begins with are left behind.
+    """
+    names = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    size, alive = 1, np.arange(len(at))
+    while size < window and len(alive):
+        longer = min(2 * size, window)
+        shift = longer - size
+        n = len(names) - shift
+        pair = names[:n] * (int(names.max()) + 1) + names[shift:]
+        names = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        size = longer
+        if size >= length:
+            own = names[at[alive]]
+            alive = alive[np.bincount(own)[own] > 1]
+    found = -1 - np.arange(len(at))
+    found[alive] = names[at[alive]]
+    return found
+
+
 def third_level(survivors: DataFrame, shape: Shape) -> DataFrame:
-    """h1, h2, doc, start: every window of full length around a survivor of level 2, by 128 bits of its words' hashes."""
+    """doc, start, end of windows of full length, whose extended seeds recur, that also start earlier."""
+    placed = survivors.repartition("key").sortWithinPartitions("key", "doc", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in shared_keys(batches):
+            raw, starts = text_buffer(group.column("data"))
+            row, step = spread(group.column("count").to_numpy().astype(np.int64))
+            doc, place = group.column("doc").to_numpy()[row], group.column("start").to_numpy()[row] + step
+            names = names_of(np.frombuffer(raw.tobytes(), dtype=np.uint64), starts[row] // 8 + step, shape.window, 2 * shape.half)
+            by = np.lexsort((place, doc, names))
+            new = firsts(names[by])
+            head = by[new][np.cumsum(new) - 1]
+            late = by[(doc[by] != doc[head]) | (place[by] != place[head])]
+            yield rows(*merged(doc[late], place[late], place[late] + shape.window), names=["doc", "start", "end"])
+
+    return placed.mapInArrow(run, "doc long, start long, end long")
+
+
+def third_level_counted(survivors: DataFrame, shape: Shape) -> DataFrame:
+    """The same for keys with very many rows: windows are summed up to their earliest place before they move, by 128
+    bits of their words' hashes, and joined with it, so no task holds a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,17 +111,26 @@ def third_level(survivors: DataFrame, shape: Shape) -> DataFrame:
                 second = rolling(mix64(tokens + np.uint64(BASE)), shape.window)[at]
                 yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
 
-    return survivors.select("doc", "start", "count", "data").mapInArrow(run, "h1 long, h2 long, doc long, start long")
+    windows = survivors.select("doc", "start", "count", "data").mapInArrow(run, "h1 long, h2 long, doc long, start long")
+    place = F.struct("doc", "start")
+    first = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    late = windows.join(first.hint("merge"), ["h1", "h2"]).filter(place > F.col("first"))
+    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
 
 
 def doubling(texts: DataFrame, shape: Shape) -> DataFrame:
     """doc, start, end of the windows that also start earlier, level by level."""
-    survivors = recurring(materialize(second_level(texts, shape)), "key")
-    windows = materialize(third_level(survivors, shape))
-    place = F.struct("doc", "start")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = windows.join(materialize(first).hint("merge"), ["h1", "h2"]).filter(place > F.col("first"))
-    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
+    spark = texts.sparkSession
+    second = materialize(second_level(texts, shape))
+    release(spark)
+    crowded = crowded_keys(second)
+    if crowded.isEmpty():
+        found = materialize(third_level(second, shape))
+    else:
+        found = materialize(third_level(second.join(crowded.hint("merge"), "key", "left_anti"), shape))
+        found = found.unionByName(materialize(third_level_counted(second.join(crowded.hint("merge"), "key", "left_semi"), shape)))
+    release(spark, second)
+    return found
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -21,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, outer_id, spread, text_buffer
-from .repeats import FILED, Shape, anchor_keys, cuts, filed, firsts, merged, repeated, rolling, whole_groups
+from . import repeats
+from .common import materialize, outer_id, release, spread, text_buffer
+from .repeats import FILED, Shape, anchor_keys, crowded_keys, cuts, filed, firsts, key_ranges, merged, repeated, rolling, shared_keys, whole_groups
 
 LENGTH = 100
 SEED = 32
 #: Bytes to which multikey quicksort goes.
 SHALLOW = 64
-#: Rows under one key that one task sorts at once.
-KEY_ROWS = 4096
 FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -232,13 +231,9 @@ def sorted_keys(filed_: DataFrame, shape: Shape) -> DataFrame:
     placed = filed_.repartition("key").sortWithinPartitions("key", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key"):
-            key = group.column("key").to_numpy()
-            number = np.cumsum(firsts(key)) - 1
-            shared = np.flatnonzero(np.bincount(number)[number] > 1)
-            for i, j in key_ranges(number[shared]):
-                *_, doc, place, late, _ = sorted_group(group.take(pa.array(shared[i:j])), shape)
-                yield covered(doc[late], place[late], shape.window)
+        for group in shared_keys(batches):
+            *_, doc, place, late, _ = sorted_group(group, shape)
+            yield covered(doc[late], place[late], shape.window)
 
     return placed.mapInArrow(run, STEP)
 
@@ -273,30 +268,23 @@ def single_windows(raw: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.nda
     return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
 
 
-def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int]]:
-    """Ranges of about `most` rows that part no key."""
-    bounds = np.r_[np.flatnonzero(firsts(number)), len(number)]
-    i = 0
-    while i < len(bounds) - 1:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
-        yield int(bounds[i]), int(bounds[j])
-        i = j
-
-
 def suffix_sorted(texts: DataFrame, shape: Shape) -> DataFrame:
     """doc, start, end of the windows that also start earlier."""
+    spark = texts.sparkSession
     local = materialize(sorted_texts(texts, shape))
+    release(spark)
     first = local.filter("data is not null")
     done = [local.filter("data is null")]
-    crowded = materialize(first.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > KEY_ROWS))
+    crowded = crowded_keys(first)
     if crowded.isEmpty():
         done.append(materialize(sorted_keys(first, shape)))
     else:
         done.append(materialize(sorted_keys(first.join(crowded.hint("merge"), "key", "left_anti"), shape)))
-        blocks = F.ceil(F.col("n") / KEY_ROWS)
+        blocks = F.ceil(F.col("n") / repeats.KEY_ROWS)
         dealt = first.join(crowded.hint("merge"), "key").withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("doc", "start"), blocks)))
         in_blocks = materialize(sorted_blocks(dealt.drop("n"), shape))
         done += [in_blocks.filter("data is null"), materialize(sorted_keys(in_blocks.filter("data is not null"), shape))]
+    release(spark)
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)

@@ -125,7 +125,7 @@ def test_dense_repeats_over_a_small_alphabet(spark):
 
 def test_crowded_keys(spark, monkeypatch):
     """The way for hot groups, forced on small ones, gives the same results."""
-    monkeypatch.setattr(suffixes, "KEY_ROWS", 3)
+    monkeypatch.setattr(repeats, "KEY_ROWS", 3)
     rnd = random.Random(11)
     line = " ".join(f"hot{i}" for i in range(12))
     texts = [f"{' '.join(words(rnd, 15, 500))} {line} {' '.join(words(rnd, 15, 500))}" for _ in range(40)]
