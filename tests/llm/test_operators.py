@@ -331,12 +331,48 @@ def test_vectors_equal_brute_force(spark):
 def test_vectors_over_many_cells_and_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(4)
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "CELL", 40)
     monkeypatch.setattr(vectors.fit_centres, "__defaults__", (200, 40))
     centres = rnd.normal(size=(6, 6))
     data = [(i, (centres[i % 6] + rnd.normal(size=6) * 0.5).tolist()) for i in range(300)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df, reach=None).collect()}
+    want = brute.vectors(data)
+    assert found == want
+    # Few cells' planes are near, and still most links are found, and none that is no link.
+    some = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
+    assert all(n <= want[i][0] for i, n in some.items())
+    assert sum(some.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_vectors_of_several_dimensions(spark):
+    data = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.01, 0.0]), (4, [2.0, 0.0]), (5, [1.0]), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
-    assert found == brute.vectors(data)
+    assert found == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_recall_and_pruning_of_cells():
+    """Of links at the threshold itself over 0.9 are found, and of the pairs of overlapping clusters about a third is compared."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(6)
+    middle = rnd.normal(size=(400, 64))
+    x = (middle[rnd.integers(0, 400, 6000)] + rnd.normal(size=(6000, 64)) * 0.6).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rnd.normal(size=x.shape)
+    away -= (away * x).sum(axis=1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * away / np.linalg.norm(away, axis=1)[:, None]
+    every = np.concatenate([x, y])
+    centres = vectors.spherical_k_means(every.copy(), len(every) // vectors.CELL)
+    unit = pa.array([r.tobytes() for r in every], pa.binary())
+    own, row, cell = vectors.placed(unit, centres, vectors.distances(centres), vectors.margin(0.9, 64, vectors.REACH))
+    visits = set(zip(row.tolist(), cell.tolist(), strict=True))
+    n = len(x)
+    met = [own[i] == own[n + i] or (i, own[n + i]) in visits or (n + i, own[i]) in visits for i in range(n)]
+    home = np.bincount(own, minlength=len(centres))
+    assert np.mean(met) >= 0.9
+    assert (home[cell].sum() + (home * home).sum() / 2) / (len(every) ** 2 / 2) < 0.35
 
 
 @pytest.mark.parametrize(("run", "long"), [(2, 50), (2, None), (3, 20)])
