@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 def arity(signature: Column) -> Column:
     """How many parameters a signature text has: one more than its commas outside brackets; 0 if it has none.
 
-    What is nested in <> or () is taken away from the inside out, eight levels deep.
+    Brackets, the arrow's > aside, are counted over the characters that matter, however deep they are nested.
     """
     inner = F.regexp_extract(signature, r"(?s)^[^(]*\((.*)\)[^)]*$", 1)
-    for _ in range(8):
-        inner = F.regexp_replace(inner, r"<[^<>()]*>|\([^<>()]*\)", "")
-    count = F.length(inner) - F.length(F.replace(inner, F.lit(","), F.lit(""))) + 1
-    return F.when(F.coalesce(F.trim(inner), F.lit("")) == "", 0).otherwise(count).cast("int")
+    marks = F.split(F.regexp_replace(F.replace(inner, F.lit("->"), F.lit("")), "[^<>(),]", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
+
+    def step(at: Column, mark: Column) -> Column:
+        depth = at["depth"] + F.when(mark.isin("<", "("), 1).when(mark.isin(">", ")"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (at["n"] + F.when((mark == ",") & (at["depth"] == 0), 1).otherwise(0)).alias("n"))
+
+    return F.when(F.coalesce(F.trim(inner), F.lit("")) == "", 0).otherwise(F.aggregate(marks, start, step)["n"]).cast("int")
 
 
 def table_name(collection: Column, prefix: str = "embeddings_", longest: int = 120) -> Column:

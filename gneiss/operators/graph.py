@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 def scratch(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares and read back, which ends its lineage."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = named.get() if named.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.gettempdir()
     path = f"{where.rstrip('/')}/gneiss-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

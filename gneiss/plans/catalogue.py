@@ -84,9 +84,10 @@ def cochange_partner_sum(spark, d):
 OWNED = f"""{LISTED}, n AS (SELECT file, o_custkey AS author, count(*) AS n FROM listed JOIN orders ON commit = o_orderkey GROUP BY ALL)"""
 
 
-@query(f"WITH {OWNED} SELECT file, author, n FROM n")
+@query(f"WITH {OWNED} SELECT file, CAST(author AS VARCHAR) AS author, n FROM n WHERE author % 3 <> 0")
 def author_counts(spark, d):
-    return history.author_counts(dated(spark, d))
+    author = F.when(F.col("author") % 3 == 0, "  ").otherwise(F.col("author").cast("string"))
+    return history.author_counts(dated(spark, d).withColumn("author", author))
 
 
 @query(f"WITH {OWNED} SELECT file, author AS owner, n AS commits FROM n QUALIFY row_number() OVER (PARTITION BY file ORDER BY n DESC, author) = 1")
@@ -148,9 +149,13 @@ def commit_block_grouping(spark, d):
 # --- graph ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CALLS} SELECT from_id, to_id FROM calls")
+@query(f"WITH {CALLS} SELECT CAST(from_id AS VARCHAR) AS from_id, CAST(to_id AS VARCHAR) AS to_id FROM calls WHERE from_id % 5 <> 0 AND to_id % 7 <> 0")
 def edge_set(spark, d):
-    return calls(spark, d)
+    def end(name: str, blank: int, text: str | None) -> Column:
+        return F.when(F.col(name) % blank == 0, F.lit(text).cast("string")).otherwise(F.col(name).cast("string")).alias(name)
+
+    both = calls(spark, d)
+    return graph.edge_set(both.unionByName(both).select(end("from_id", 5, " "), end("to_id", 7, None)))
 
 
 @query(f"WITH {CALLS} SELECT from_id AS id FROM calls WHERE to_id = 17")
@@ -188,10 +193,10 @@ def blast_radius_callees(spark, d):
     return graph.reachable(graph.scratch(calls(spark, d)), 17, 2, callers=False)
 
 
-@query("SELECT p_name AS id, min(p_partkey) AS node_seq FROM part WHERE p_name LIKE '%9%' GROUP BY p_name ORDER BY node_seq LIMIT 1")
+@query("SELECT p_name AS id, min(p_partkey) AS node_seq FROM part WHERE p_name LIKE '%o%' GROUP BY p_name ORDER BY node_seq LIMIT 1")
 def symbol_lookup(spark, d):
     symbols = read(spark, d, "part").groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").alias("node_seq"))
-    return graph.lookup(symbols, "9")
+    return graph.lookup(symbols, "o")
 
 
 @query(f"""WITH {CALLS} SELECT p_partkey AS id, (SELECT count(*) FROM calls WHERE to_id = p_partkey) AS n_callers, (SELECT count(*) FROM calls WHERE from_id = p_partkey) AS n_callees,
@@ -265,14 +270,19 @@ def resolve_extension(spark, d):
     return resolve.cross_language(records, callables(spark, d).filter("id % 2 = 0"), True).select("caller_id", "match")
 
 
-INJECTED = """c AS (SELECT p_type AS type, count(*) AS n, min(p_partkey) AS match FROM part WHERE p_size <= 2 GROUP BY 1),
-points AS (SELECT p_partkey AS owner_id, p_type AS type, coalesce(n, 0) AS n, match FROM part LEFT JOIN c ON c.type = p_type)"""
+INJECTED = """c AS (SELECT p_type || p_size AS type, count(*) AS n, min(p_partkey) AS match FROM part WHERE p_partkey % 11 <> 0 GROUP BY 1),
+points AS (SELECT p_partkey AS owner_id, coalesce(n, 0) AS n, match FROM part LEFT JOIN c ON c.type = p_type || CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size % 50 + 1 END WHERE p_partkey % 13 <> 0)"""
 
 
 def injected(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "part")
-    classes = rows.filter("p_size <= 2").select(F.col("p_partkey").alias("id"), F.array("p_type").alias("interfaces"), F.lit("src/main/A.java").alias("file_path"))
-    return resolve.injection(rows.select(F.col("p_partkey").alias("owner_id"), F.col("p_type").alias("type"), F.lit("src/main/B.java").alias("file_path")), classes)
+
+    def path(tests: int) -> Column:
+        return F.when(F.col("p_partkey") % tests == 0, "m/src/test/java/A.java").otherwise("m/src/main/java/A.java").alias("file_path")
+
+    wanted = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") % 50 + 1).cast("string")
+    classes = rows.select(F.col("p_partkey").alias("id"), F.array(F.concat("p_type", F.col("p_size").cast("string"))).alias("interfaces"), path(11))
+    return resolve.injection(rows.select(F.col("p_partkey").alias("owner_id"), F.concat("p_type", wanted).alias("type"), path(13)), classes)
 
 
 @query(f"WITH {INJECTED} SELECT DISTINCT owner_id AS from_id, match AS to_id FROM points WHERE n = 1")
@@ -486,11 +496,11 @@ def drift_top_nodes(spark, d):
 # --- scalar functions ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 4 END::INT AS arity FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN 2 ELSE o_orderkey % 5 END::INT AS arity FROM orders""")
 def signature_arity(spark, d):
-    key = F.col("o_orderkey") % 4
-    sig = F.when(key == 0, "f()").when(key == 1, "f(Map<String, List<Int>>)").when(key == 2, "f(A, (B, C) -> D)").otherwise("f(A, Map<K, V>, C)")
-    return read(spark, d, "orders").select("o_orderkey", text.arity(sig).alias("arity"))
+    deep = "f(" + "Map<K, " * 12 + "V" + ">" * 12 + ", " + "(A, " * 12 + "B" + ")" * 12 + ")"
+    samples = ["f()", "f(Map<String, List<Int>>)", "f(A, (B, C) -> D)", "f(A, Map<K, V>, C)", deep]
+    return read(spark, d, "orders").select("o_orderkey", text.arity(F.element_at(F.array(*map(F.lit, samples)), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("arity"))
 
 
 @query("""SELECT c_custkey, c_nationkey || ' → ' || (c_custkey % 25) || '  (' || CASE WHEN c_custkey % 25 = c_nationkey THEN 'no change' WHEN c_custkey % 25 > c_nationkey THEN '+' || (c_custkey % 25 - c_nationkey) ELSE '' || (c_custkey % 25 - c_nationkey) END || ')' AS shown FROM customer""")
@@ -503,9 +513,9 @@ def lenient_int(spark, d):
     return read(spark, d, "part").select("p_partkey", text.lenient_int(F.substring_index("p_name", " ", -1)).alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS path FROM pages")
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE url END AS path FROM pages")
 def path_relativise(spark, d):
-    return read(spark, d, "pages").select("page_id", F.when(F.col("url").startswith("https://"), F.regexp_replace("url", "^https://", "")).otherwise(F.col("url")).alias("path"))
+    return read(spark, d, "pages").select("page_id", text.relative_to(F.col("url"), F.lit("https:/")).alias("path"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s // 3600 > 0 THEN (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' END AS shown

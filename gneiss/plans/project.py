@@ -101,12 +101,14 @@ def qualified_ids(callables: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.coalesce("unknown", F.lit(False)), F.col("id")).otherwise(spelled("declaring_class_id", "name", types, "meant", "many")).alias("final_id"))
 
 
-def ancestors(classes: DataFrame, most: int = 32) -> DataFrame:
+def ancestors(classes: DataFrame) -> DataFrame:
     """class_id, ancestor, depth: each class, what it extends and implements, and so on, nearest depth first."""
     parents = classes.select(F.col("id").alias("class_id"), "package", "imports", "wildcards", F.explode("parents").alias("name")).withColumn("ref", F.concat_ws("\x1f", "class_id", "name"))
     direct = graph.scratch(parents.select("ref", "class_id").join(named_classes(parents, classes, "ref"), "ref").select("class_id", F.col("fq").alias("parent")).distinct())
     all_ = frontier = classes.select(F.col("id").alias("class_id"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    for depth in range(1, most):
+    depth = 0
+    while True:
+        depth += 1
         step = frontier.join(direct.withColumnRenamed("class_id", "ancestor"), "ancestor").select("class_id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         frontier = graph.scratch(step.join(all_.select("class_id", "ancestor"), ["class_id", "ancestor"], "left_anti"))
         if frontier.isEmpty():

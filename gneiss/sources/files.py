@@ -21,18 +21,15 @@ def read_files(spark: SparkSession, roots: list[str], base: str, languages: tupl
 
     Suffixes are compared without case; roots that are no folders are left out. file_seq follows the paths.
     """
-    there = [r for r in dict.fromkeys(roots) if os.path.isdir(r) or "://" in r]
+    there = [r for r in dict.fromkeys(r.rstrip("/") or r for r in roots) if os.path.isdir(r) or "://" in r]
     if not there:
         return spark.createDataFrame([], EMPTY)
-    glob = "*.{" + ",".join(sorted({x for lang in languages for x in variants(LANGUAGES[lang][1:])})) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(there)
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in LANGUAGES[lang][1:]) for lang in languages) + "}"
+    # Roots inside other roots would list their files twice; paths are cheap to compare, contents are not.
+    outer = [r for r in there if not any(r != o and r.rstrip("/").startswith(o.rstrip("/") + "/") for o in there)]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(outer)
     path = local_path(F.col("path"))
     root = base.rstrip("/") + "/"
     language = F.when(F.lower(path).endswith(".java"), "JAVA").otherwise("KOTLIN")
     shown = F.when(F.col("abs_path").startswith(root), F.expr(f"substring(abs_path, {len(root) + 1})")).otherwise(F.col("abs_path"))
-    return found.select(path.alias("abs_path"), language.alias("language"), "content").dropDuplicates(["abs_path"]).select(shown.alias("path"), "abs_path", "language", "content", F.xxhash64("abs_path").alias("file_seq"))
-
-
-def variants(suffix: str) -> list[str]:
-    """A suffix in lower, upper and capital letters, as file globs know no case folding."""
-    return [suffix, suffix.upper(), suffix.capitalize()]
+    return found.select(path.alias("abs_path"), language.alias("language"), "content").select(shown.alias("path"), "abs_path", "language", "content", F.xxhash64("abs_path").alias("file_seq"))

@@ -3,7 +3,7 @@
 import pytest
 from oracle import differs
 
-from gneiss.plans import catalogue
+from gneiss.plans import catalogue, source_queries  # noqa: F401 (registers its queries)
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -163,3 +163,14 @@ def test_settings_precedence(tmp_path):
 def test_log_blocks():
     lines = ["noise\n", "\x1ea\x1fx\x1f1\n", "\n", " f \n", "\x1eb\x1fy\x1f2\n"]
     assert list(gitlog.blocks(iter(lines))) == [("a\x1fx\x1f1", ["f"]), ("b\x1fy\x1f2", [])]
+
+
+def test_suffixes_in_any_case_and_nested_roots(spark, tmp_path):
+    from gneiss.sources import files
+
+    for name in ("A.jAvA", "b/C.kT", "b/d/E.JAVA", "b/F.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    roots = [str(tmp_path / "b"), str(tmp_path), str(tmp_path) + "/", str(tmp_path / "b" / "d")]
+    found = sorted((r["path"], r["language"]) for r in files.read_files(spark, roots, str(tmp_path)).collect())
+    assert found == [("A.jAvA", "JAVA"), ("b/C.kT", "KOTLIN"), ("b/d/E.JAVA", "JAVA")]
