@@ -114,12 +114,16 @@ def third_level_counted(survivors: DataFrame, shape: Shape) -> DataFrame:
     windows = survivors.select("doc", "start", "count", "data").mapInArrow(run, "h1 long, h2 long, doc long, start long")
     place = F.struct("doc", "start")
     first = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    late = windows.join(first.hint("merge"), ["h1", "h2"]).filter(place > F.col("first"))
+    late = windows.join(first, ["h1", "h2"]).filter(place > F.col("first"))
     return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
 
 
 def doubling(texts: DataFrame, shape: Shape) -> DataFrame:
-    """doc, start, end of the windows that also start earlier, level by level."""
+    """doc, start, end of the windows that also start earlier, level by level.
+
+    Crowded keys, and their repeated windows, are one in KEY_ROWS of the rows or fewer: Spark sends these tables to
+    all tasks where their written size is below its limit, so that the rows stay where they are, and merges beyond.
+    """
     spark = texts.sparkSession
     second = materialize(second_level(texts, shape))
     release(spark)
@@ -127,8 +131,8 @@ def doubling(texts: DataFrame, shape: Shape) -> DataFrame:
     if crowded.isEmpty():
         found = materialize(third_level(second, shape))
     else:
-        found = materialize(third_level(second.join(crowded.hint("merge"), "key", "left_anti"), shape))
-        found = found.unionByName(materialize(third_level_counted(second.join(crowded.hint("merge"), "key", "left_semi"), shape)))
+        found = materialize(third_level(second.join(crowded, "key", "left_anti"), shape))
+        found = found.unionByName(materialize(third_level_counted(second.join(crowded, "key", "left_semi"), shape)))
     release(spark, second)
     return found
 
