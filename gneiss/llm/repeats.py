@@ -295,11 +295,14 @@ def key_ranges(number: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, i
         i = j
 
 
-def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Of FILED rows sorted by key those whose key comes more than once, whole keys at a time."""
+def shared_keys(batches: Iterator[pa.RecordBatch], part: str | None = None) -> Iterator[pa.Table]:
+    """Of FILED rows sorted by key those whose key comes more than once, whole keys at a time; also those flagged in the column `part`."""
     for group in whole_groups(batches, "key"):
         number = np.cumsum(firsts(group.column("key").to_numpy())) - 1
-        several = np.flatnonzero(np.bincount(number)[number] > 1)
+        wanted = np.bincount(number)[number] > 1
+        if part:
+            wanted |= group.column(part).to_numpy()
+        several = np.flatnonzero(wanted)
         for i, j in key_ranges(number[several]):
             yield group.take(pa.array(several[i:j]))
 

@@ -5,22 +5,24 @@ hash, which loses no repeat. Those that come more than once are extended to eith
 (level 2) and dealt to tasks by these; what comes more than once again is extended to the full length (level 3).
 Each level reads the survivors of the one before and nothing else. Of the windows of full length that come more
 than once all but the earliest are removed. Where very many survivors of level 2 are alike, their windows of full
-length are counted and joined instead of held in a task.
+length are sought in blocks first, and the earliest of each block are dealt anew.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, outer_id, release, spread, text_buffer, word_parts
+from . import repeats
+from .common import materialize, outer_id, release, spread, text_buffer, word_parts
 from .minhash import word_hashes
-from .repeats import BASE, FILED, Shape, crowded_keys, cuts, filed, firsts, merged, repeated, rolling, rows, shared_keys
+from .repeats import FILED, Shape, crowded_keys, cuts, filed, firsts, merged, repeated, rolling, shared_keys
 
 WINDOW = 20
 FIELDS = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
@@ -76,65 +78,79 @@ def names_of(tokens: np.ndarray, at: np.ndarray, window: int, length: int) -> np
     return found
 
 
-def third_level(survivors: DataFrame, shape: Shape) -> DataFrame:
-    """doc, start, end of windows of full length, whose extended seeds recur, that also start earlier."""
-    placed = survivors.repartition("key").sortWithinPartitions("key", "doc", "start")
+def third_level(survivors: DataFrame, crowded: DataFrame, shape: Shape) -> DataFrame:
+    """FILED: of the windows of full length, whose extended seeds recur, those that also start earlier.
+
+    Rows without data are stretches that such windows cover. Crowded keys are dealt in blocks of about KEY_ROWS rows;
+    the earliest window of its kind in a block goes on, one a row, with the hash of the whole window as its key.
+    """
+    blocks = F.pmod(F.xxhash64("doc", "start"), F.ceil(F.col("n") / repeats.KEY_ROWS))
+    dealt = survivors.join(crowded, "key", "left").select(
+        F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", blocks)).alias("key"), F.col("n").isNotNull().alias("part"), "doc", "start", "count", "data"
+    )
+    placed = dealt.repartition("key").sortWithinPartitions("key", "doc", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in shared_keys(batches):
+        for group in shared_keys(batches, "part"):
             raw, starts = text_buffer(group.column("data"))
+            tokens = np.frombuffer(raw.tobytes(), dtype=np.uint64)
             row, step = spread(group.column("count").to_numpy().astype(np.int64))
+            at = starts[row] // 8 + step
             doc, place = group.column("doc").to_numpy()[row], group.column("start").to_numpy()[row] + step
-            names = names_of(np.frombuffer(raw.tobytes(), dtype=np.uint64), starts[row] // 8 + step, shape.window, 2 * shape.half)
+            part = group.column("part").to_numpy(zero_copy_only=False)[row]
+            names = names_of(tokens, at, shape.window, 2 * shape.half)
             by = np.lexsort((place, doc, names))
             new = firsts(names[by])
-            head = by[new][np.cumsum(new) - 1]
-            late = by[(doc[by] != doc[head]) | (place[by] != place[head])]
-            yield rows(*merged(doc[late], place[late], place[late] + shape.window), names=["doc", "start", "end"])
-
-    return placed.mapInArrow(run, "doc long, start long, end long")
-
-
-def third_level_counted(survivors: DataFrame, shape: Shape) -> DataFrame:
-    """The same for keys with very many rows: windows are summed up to their earliest place before they move, by 128
-    bits of their words' hashes, and joined with it, so no task holds a key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1 << 12):
-                batch = whole.slice(i, 1 << 12)
-                raw, starts = text_buffer(batch.column("data"))
-                tokens = np.frombuffer(raw.tobytes(), dtype=np.uint64)
-                row, step = spread(batch.column("count").to_numpy().astype(np.int64))
-                at = starts[row] // 8 + step
-                first = rolling(tokens, shape.window)[at]
-                second = rolling(mix64(tokens + np.uint64(BASE)), shape.window)[at]
-                yield rows(first, second, batch.column("doc").to_numpy()[row], batch.column("start").to_numpy()[row] + step, names=["h1", "h2", "doc", "start"])
-
-    windows = survivors.select("doc", "start", "count", "data").mapInArrow(run, "h1 long, h2 long, doc long, start long")
-    place = F.struct("doc", "start")
-    first = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    late = windows.join(first, ["h1", "h2"]).filter(place > F.col("first"))
-    return late.select("doc", "start", (F.col("start") + shape.window).alias("end"))
+            head = by[new]
+            own = head[np.cumsum(new) - 1]
+            late = by[(doc[by] != doc[own]) | (place[by] != place[own])]
+            gone, start, end = merged(doc[late], place[late], place[late] + shape.window)
+            yield covered(gone, start, end)
+            head = head[part[head]]
+            key = rolling(tokens, shape.window)[at[head]] if len(head) else at[head]
+            for i in range(0, len(head), 1 << 13):
+                j = slice(i, i + (1 << 13))
+                yield single_windows(tokens, at[head[j]], key[j], doc[head[j]], place[head[j]], shape.window)
+
+    return placed.mapInArrow(run, FILED)
+
+
+def covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """FILED rows of stretches: count is their length, and there is no data."""
+    n = len(doc)
+    zeros, none = np.zeros(n, np.int64), pa.nulls(n, pa.binary())
+    columns = [pa.array(zeros), pa.array(doc), pa.array(start), pa.array((end - start).astype(np.int32)), pa.array(zeros.astype(np.int32)), none]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
+
+
+def single_windows(tokens: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
+    """FILED rows of one window each."""
+    n = len(key)
+    data = tokens[at[:, None] + np.arange(window)].tobytes()
+    ends = np.arange(n + 1) * (window * tokens.itemsize)
+    part = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    columns = [pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), part]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "start", "count", "shift", "data"])
 
 
 def doubling(texts: DataFrame, shape: Shape) -> DataFrame:
     """doc, start, end of the windows that also start earlier, level by level.
 
-    Crowded keys, and their repeated windows, are one in KEY_ROWS of the rows or fewer: Spark sends these tables to
-    all tasks where their written size is below its limit, so that the rows stay where they are, and merges beyond.
+    What crowded keys hand on is one in KEY_ROWS of the copies of a window; it goes through the third level again
+    until no key is crowded. Crowded keys are one in KEY_ROWS of the rows or fewer: Spark sends their table to all
+    tasks where its written size is below its limit, and merges beyond.
     """
     spark = texts.sparkSession
-    second = materialize(second_level(texts, shape))
+    rows_, done = materialize(second_level(texts, shape)), []
     release(spark)
-    crowded = crowded_keys(second)
-    if crowded.isEmpty():
-        found = materialize(third_level(second, shape))
-    else:
-        found = materialize(third_level(second.join(crowded, "key", "left_anti"), shape))
-        found = found.unionByName(materialize(third_level_counted(second.join(crowded, "key", "left_semi"), shape)))
-    release(spark, second)
-    return found
+    while True:
+        crowded = crowded_keys(rows_)
+        found = materialize(third_level(rows_, crowded, shape))
+        release(spark, *([] if done else [rows_]))
+        done.append(found.filter("data is null").select("doc", "start", (F.col("start") + F.col("count")).alias("end")))
+        rows_ = found.filter("data is not null")
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -143,7 +159,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Earlier is a smaller doc_id or the same document further up; a null doc_id comes last. Words are what
     lies between ASCII white space; a null text has none. Kept words are joined by single spaces. Repeated rows
     stand at one place, so neither is later; no rows give no rows; other columns may have any name. Words are
-    compared by 64 bits of their hashes, windows by 128 bits of these.
+    compared by 64 bits of their hashes.
     """
     shape = Shape(window, max(1, window // 4))
 
