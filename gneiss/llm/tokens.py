@@ -66,8 +66,11 @@ SPACE = re.compile(f"[{WHITE}]+")
 #: A text without this has only single spaces and line feeds, each between two other characters.
 UNEVEN = re.compile(f"[{WHITE.replace(' ', '')}\\0](?<!\\n)|[ \\n][ \\n]|^[ \\n]|[ \\n]\\Z")
 BYTE_LEVEL = re.compile(f"(?<=[^{WHITE}])(?=[ \\n][^{WHITE}])|(?<=[^{WHITE}]\\n)(?=[^{WHITE}])")
-#: Between a letter that stays one letter in lower case and under composition, and a mark that no special token holds.
-LETTER_MARK = re.compile("(?<=[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff])(?=[!-;=?-@\\[-`{}~])(?=[^0-9])")
+#: A letter that stays one letter in lower case and under composition.
+LETTER = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]"
+LETTERS = re.compile(f"{LETTER}+")
+#: Between such a letter and a mark that no special token holds.
+LETTER_MARK = re.compile(f"(?<={LETTER})(?=[!-;=?-@\\[-`{{}}~])(?=[^0-9])")
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -96,44 +99,74 @@ class Encodings:
 
     def __init__(self, path: str, value, fold: bool):
         self.library, self.value, self.fold = tokenizer(path), value, fold
+        self.ends = word_ends(self.library) if fold else None
         self.new, self.old = {}, {}
 
     def of(self, pieces: list[str]) -> list:
-        try:
+        missing = set(pieces).difference(self.new)
+        if not missing:
             return list(map(self.new.__getitem__, pieces))
-        except KeyError:
-            distinct = dict.fromkeys(pieces)
-            large = [p for p in distinct if len(p) > LONGEST_KEPT]
-            missing = [p for p in distinct if p not in self.new]
-            if len(self.new) + len(missing) > CACHE_PIECES:
-                self.old, self.new, missing = self.new, {}, list(distinct)
-            self.learn(missing)
-            found = list(map(self.new.__getitem__, pieces))
-            for p in large:
+        if len(self.new) + len(missing) > CACHE_PIECES:
+            self.old, self.new, missing = self.new, {}, set(pieces)
+        self.learn(missing)
+        found = list(map(self.new.__getitem__, pieces))
+        for p in missing:
+            if len(p) > LONGEST_KEPT:
                 del self.new[p]
-            return found
+        return found
+
+    def parts(self, piece: str) -> list[str]:
+        xs = [piece] if piece.isalpha() else LETTER_MARK.split(piece)
+        return [x.lower() if x.isascii() and "<" not in x else x for x in xs] if self.fold else xs
 
-    def learn(self, missing: list[str]) -> None:
+    def learn(self, missing: set[str]) -> None:
+        new, old = self.new, self.old
         parts = {}
         for p in missing:
-            if p in self.old:
-                self.new[p] = self.old[p]
+            if p in old:
+                new[p] = old[p]
             else:
-                parts[p] = [x.lower() if self.fold and x.isascii() and "<" not in x else x for x in LETTER_MARK.split(p)]
-        unknown = [x for x in dict.fromkeys(x for xs in parts.values() for x in xs) if x not in self.new]
+                parts[p] = self.parts(p)
+        unknown = {x for xs in parts.values() for x in xs}.difference(new)
+        rest = unknown.difference(old)
+        for x in unknown.difference(rest):
+            new[x] = old[x]
+        self.encode(rest)
+        for p, xs in parts.items():
+            if len(xs) > 1 or xs[0] != p:
+                new[p] = b"".join(map(new.__getitem__, xs)) if self.fold else sum(map(new.__getitem__, xs))
         for x in unknown:
-            if x in self.old:
-                self.new[x] = self.old[x]
-        unknown = [x for x in unknown if x not in self.new]
-        large = [x for x in unknown if len(x) > LONGEST_KEPT and x not in parts]
-        for batch in balanced(unknown):
+            if len(x) > LONGEST_KEPT and x not in parts:
+                del new[x]
+
+    def encode(self, unknown: set[str]) -> None:
+        """Encode each part; words of LETTER alone go as one text and are told apart by the tokens that end words."""
+        words = list(filter(LETTERS.fullmatch, unknown)) if self.ends is not None else []
+        others = list(unknown.difference(words)) if words else list(unknown)
+        for batch in balanced(words):
+            ids = np.array(self.library.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(batch) or stops[-1] != 4 * len(ids):
+                others += batch
+                continue
+            data, start = ids.tobytes(), 0
+            for x, stop in zip(batch, stops, strict=True):
+                self.new[x] = data[start:stop]
+                start = stop
+        for batch in balanced(others):
             for x, code in zip(batch, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
                 self.new[x] = self.value(code)
-        for p, xs in parts.items():
-            if len(xs) > 1 or xs[0] != p:
-                self.new[p] = b"".join(map(self.new.__getitem__, xs)) if self.fold else sum(map(self.new.__getitem__, xs))
-        for x in large:
-            del self.new[x]
+
+
+def word_ends(library) -> np.ndarray | None:
+    """Which ids end a word, or None where the tokenizer's vocabulary does not mark them."""
+    suffix = getattr(library.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(library.get_vocab_size(), dtype=bool)
+    for token, i in library.get_vocab().items():
+        ends[i] = token.endswith(suffix)
+    return ends
 
 
 def safe_parts(text: str, longest: int = LONG_TEXT, cut: re.Pattern = BYTE_LEVEL) -> Iterator[str]:
