@@ -24,6 +24,7 @@ class JavaFile:
         self.sites: list[dict] = []
         self.package, self.imports, self.wildcards = "", {}, []
         self.scopes: list[dict[str, str]] = []
+        self.blocks: list[tuple[int, dict[str, str]]] = []
 
     def add(self, **row) -> dict:
         row |= {"file_path": self.path, "language": "JAVA", "package": self.package}
@@ -270,19 +271,23 @@ class JavaFile:
     # --- calls ---
 
     def body(self, caller: str, class_id: str, start: int, end: int) -> None:
-        """Calls of a body in order; local names are collected first, as inner ones seldom hide outer ones."""
-        c, scope = self.c, self.scopes[-1]
+        """Calls of a body in order; a local name holds from its declaration to the end of its block or statement."""
+        c, self.blocks = self.c, [(end, {})]
         for i in range(start, end):
             t, before = c.all[i], c.all[i - 1]
+            while self.blocks[-1][0] < i:
+                self.blocks.pop()
+            if t.kind == "op" and t.text == "{":
+                self.blocks.append((c.partner[i], {}))
+            elif t.kind == "id" and t.text in ("for", "try", "catch") and c.all[i + 1].text == "(":
+                self.blocks.append((self.statement_end(c.past(i + 1)), {}))
             if t.kind == "id" and t.text not in NOT_NAMES and before.text not in (".", "new", "::") and not (before.kind == "id" and before.text not in NOT_NAMES | MODIFIERS):
                 after = self.type_end(i)
                 if after > i and c.all[after].kind == "id" and c.all[after].text not in NOT_NAMES and c.all[after + 1].text in ("=", ";", ":", ",", ")"):
                     type_ = c.text(i, after)
                     if type_ == "var" and c.all[after + 2].text == "new":
                         type_ = c.text(after + 3, self.type_end(after + 3))
-                    scope.setdefault(c.all[after].text, type_)
-        for i in range(start, end):
-            t = c.all[i]
+                    self.blocks[-1][1][c.all[after].text] = type_
             if t.kind == "id" and t.text not in NOT_NAMES and c.all[i + 1].text == "(" and c.all[i + 1].kind == "op" and self.calls_at(i):
                 close = c.partner[i + 1]
                 args = c.parts(i + 2, close, angles=False)
@@ -290,6 +295,15 @@ class JavaFile:
                 kind, type_ = self.receiver(begin, i)
                 self.sites.append({"caller_id": caller, "op": "CALL", "name": t.text, "arity": len(args), "receiver_text": c.text(begin, i - 1) if begin < i else "", "receiver_kind": kind, "receiver_type": type_, "class_id": class_id, "package": self.package, "expr": " ".join(c.text(begin, close + 1).split()), "is_lambda_param": False, "file_path": self.path, "line": t.line, "origin": "JAVA", "imports": dict(self.imports), "wildcards": list(self.wildcards)})
 
+        self.blocks = []
+
+    def statement_end(self, i: int) -> int:
+        """The last token of the statement that starts at i; a header in brackets belongs to what it heads."""
+        c = self.c
+        while i < len(c.all) - 1 and c.all[i].text not in ("{", ";", "}"):
+            i = c.past(i) if c.all[i].kind == "op" and c.all[i].text in OPENERS else i + 1
+        return c.partner[i] if c.all[i].text == "{" and c.all[i].kind == "op" else i
+
     def calls_at(self, i: int) -> bool:
         """Whether `name (` calls: not after new, an annotation's @ or a type, as in local declarations."""
         c = self.c
@@ -349,7 +363,8 @@ class JavaFile:
         return "UNKNOWN", ""
 
     def type_of(self, name: str, fields: bool = False) -> str:
-        for scope in reversed(self.scopes[:-1] if fields else self.scopes):
+        local = [] if fields else [names for _, names in self.blocks]
+        for scope in reversed((self.scopes[:-1] if fields else self.scopes) + local):
             if name in scope:
                 return scope[name]
         return name

@@ -73,12 +73,13 @@ def scan(text: str, at: int, line: int, kotlin: bool, out: list[Token], until: s
             at, kind = end + 1, "num"
         elif kotlin and c == "`":
             end = text.find("`", at + 1)
-            if end < 0:
-                raise SourceError(f"line {line}: unclosed `")
+            if end < 0 or "\n" in text[at:end]:
+                at += 1
+                continue
             out.append(Token("id", text[at + 1 : end], at, end + 1, line, fresh))
             at, fresh = end + 1, False
             continue
-        elif c.isdigit():
+        elif c in "0123456789":
             at, kind = NUMBER.match(text, at).end(), "num"
             if text[at - 1] == ".":
                 at -= 1
@@ -95,7 +96,7 @@ def scan(text: str, at: int, line: int, kotlin: bool, out: list[Token], until: s
                 depth -= 1
         out.append(Token(kind, text[begin:at], begin, at, first, fresh))
         fresh = False
-    if until:
+    if until and not kotlin:
         raise SourceError(f"line {line}: unclosed template")
     return at, line
 
@@ -107,6 +108,9 @@ def string(text: str, at: int, line: int, kotlin: bool, out: list[Token], fresh:
     at += len(quote)
     while True:
         if at >= len(text) or (quote == '"' and text[at] == "\n"):
+            if kotlin:
+                at = min(at, len(text))
+                break
             raise SourceError(f"line {first}: unclosed string")
         if text.startswith(quote, at):
             at += len(quote)
@@ -132,11 +136,56 @@ def string(text: str, at: int, line: int, kotlin: bool, out: list[Token], fresh:
     return at, line
 
 
+#: Words that open a declaration at the start of a line.
+OPENING = frozenset("fun val var class interface object typealias enum data sealed abstract open private public internal protected suspend inline".split())
+
+
+def closed(tokens: list[Token], text: str) -> list[Token]:
+    """Tokens whose brackets are in pairs; what is balanced comes back as it is.
+
+    A closer without an opener in its braces is left out, and what is open inside of braces is closed where they are.
+    Where braces stay open to the end, a declaration at the start of a line closes all that is open before it.
+    """
+    for by_column in (False, True):
+        out, stack, open_at_end = [], [], False
+
+        def close(n: int, out: list = out, stack: list = stack) -> None:
+            while len(stack) > n:
+                end, line = out[-1].end, out[-1].line
+                out.append(Token("op", OPENERS[stack.pop()], end, end, line, False))
+
+        for t in tokens:
+            if t.kind == "end":
+                open_at_end = "{" in stack
+                close(0)
+            elif by_column and stack and t.fresh and t.text in OPENING and t.kind == "id" and text[t.start - 1 : t.start] == "\n":
+                close(0)
+            if t.kind == "op" and t.text in OPENERS:
+                stack.append(t.text)
+            elif t.kind == "op" and t.text in ")]}":
+                # The nearest opener of this kind; round and square brackets reach no further than their braces.
+                n = len(stack) - 1
+                while n >= 0 and OPENERS[stack[n]] != t.text and (t.text == "}" or stack[n] != "{"):
+                    n -= 1
+                if n < 0 or OPENERS[stack[n]] != t.text:
+                    continue
+                close(n + 1)
+                stack.pop()
+            out.append(t)
+        if not open_at_end:
+            break
+    return out
+
+
 class Cursor:
     """Tokens with a place, and where each bracket's partner is."""
 
     def __init__(self, text: str, kotlin: bool):
         self.source, self.all = text, tokens(text, kotlin)
+        if kotlin:
+            self.all = closed(self.all, text)
+            # Room to step past the end where a file breaks off.
+            self.all += self.all[-1:] * 8
         self.at = 0
         self.partner: dict[int, int] = {}
         stack: list[int] = []

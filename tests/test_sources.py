@@ -100,6 +100,37 @@ def test_java_call_sites_know_their_receivers():
     assert found == [("init", 0, "THIS", ""), ("foo", 0, "SUPER", ""), ("save", 1, "TYPE", "Repo"), ("flush", 0, "UNKNOWN", ""), ("greet", 1, "TYPE", "Service"), ("run", 0, "TYPE", "Query"), ("trim", 0, "TYPE", "String"), ("help", 2, "TYPE", "Util"), ("go", 1, "THIS", ""), ("w", 0, "THIS", "")]
 
 
+@pytest.mark.parametrize(
+    "body, wanted",
+    [
+        ("{ A x = new A(); x.go(); } { B x = new B(); x.go(); } x.go();", ["A", "B", "F"]),
+        ("for (A x : as) x.go(); x.go(); for (B x : bs) { if (y) { x.go(); } } x.go();", ["A", "F", "B", "F"]),
+        ("try (A x = open()) { x.go(); } catch (B x) { x.go(); } finally { x.go(); }", ["A", "B", "F"]),
+        ("A x = a(); run(() -> { x.go(); }); this.x.go(); x.go();", ["A", "F", "A"]),
+    ],
+)
+def test_java_names_hold_in_their_blocks(body, wanted):
+    _, sites = java.parse("A.java", "class A { F x; void f() { " + body + " } }")
+    assert [s["receiver_type"] for s in sites if s["name"] == "go"] == wanted
+
+
+@pytest.mark.parametrize(
+    "source, symbols, calls",
+    [
+        ("fun a() { b() }\nfun c() { d( }\nfun e() { f() }", "ace", [("a", "b"), ("c", "d"), ("e", "f")]),
+        ("fun a() { b() }\nfun c() { if (x) { d() \n}\nfun e() { f() }", "ace", [("a", "b"), ("c", "d"), ("e", "f")]),
+        ("fun a() { b() ) }\n}\nfun e() { f() }", "ae", [("a", "b"), ("e", "f")]),
+        ("fun a() = \"abc\nfun e() { f(²) }\nfun `x\nfun g() { h() } }", "aeg", [("e", "f"), ("g", "h")]),
+        ("fun a() { b() }\nfun e() { f(\"\"\"never", "ae", [("a", "b"), ("e", "f")]),
+    ],
+)
+def test_kotlin_goes_on_after_errors(source, symbols, calls):
+    found, sites = kt(source)
+    names = {s.removeprefix("FileKt.").removesuffix("()") for s in found if s.startswith("FileKt.")}
+    assert set(symbols) <= names
+    assert [(s["caller_id"].removeprefix("FileKt.").removesuffix("()"), s["name"]) for s in sites] == calls
+
+
 def test_broken_java_is_an_error():
     with pytest.raises(SourceError):
         java.parse("A.java", "class A { void f() { }")
