@@ -39,21 +39,9 @@ def tokenizer(path: str):
     return loaded[path]
 
 
-def release() -> None:
-    """Give back to the system what earlier functions of this worker have freed."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def encodings(kind: str, path: str) -> Encodings:
     known = worker_state().setdefault("encoded", {})
     if (kind, path) not in known:
-        release()
         known[kind, path] = Encodings(path, len, False) if kind == "count" else Encodings(path, lambda code: np.array(code.ids, dtype="<u4").tobytes(), True)
     return known[kind, path]
 
