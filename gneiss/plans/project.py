@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gneiss.functions import annotations
 from gneiss.operators import graph, resolve
@@ -39,18 +40,51 @@ class Project:
     counters: dict[str, int]
 
 
-def parsed(sources: DataFrame) -> DataFrame:
-    """type (symbol, site), seq and data (JSON) of every file; a Java file that cannot be parsed ends the run."""
+#: Symbols and sites that go to Spark at once; those of one file stay together.
+BATCH_ROWS = 4096
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def arrow_column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values of a field; structs are taken apart, as one column each is made faster than from row to row."""
+    if not any(v is not None for v in values):
+        return pa.nulls(len(values), kind)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([arrow_column([None if v is None else v.get(f.name) for v in values], f.type) for f in kind], fields=list(kind), mask=pa.array([v is None for v in values]))
+    if pa.types.is_map(kind):
+        return pa.array([None if v is None else list(v.items()) for v in values], kind)
+    return pa.array(values, kind)
+
+
+def parse(sources: DataFrame, symbols: bool = True, sites: bool = True) -> DataFrame:
+    """seq, and `symbol` and `site` as wanted, of every file; a Java file that cannot be parsed ends the run.
+
+    A row has a symbol or a site. Files are parsed in the partitions they come in.
+    """
+    fields = ["seq string", f"symbol struct<{SYMBOL}>" if symbols else "", f"site struct<{SITE}>" if sites else ""]
+    schema = StructType.fromDDL(", ".join(x for x in fields if x))
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(rows: list[tuple[str, dict | None, dict | None]]) -> pa.RecordBatch:
+        seq, symbol, site = map(list, zip(*rows, strict=True))
+        held = {"seq": seq, "symbol": symbol, "site": site}
+        return pa.RecordBatch.from_arrays([arrow_column(held[f.name], f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, dict | None, dict | None]] = []
         for batch in batches:
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
-                text = bytes(content).decode("utf-8", "replace")
-                symbols, sites = (java_source if language == "JAVA" else kotlin_source).parse(path, text)
-                rows = [("symbol", s) for s in symbols] + [("site", s) for s in sites]
-                yield pd.DataFrame({"type": [t for t, _ in rows], "seq": [f"{language}:{path}:{i:08d}" for i in range(len(rows))], "data": [json.dumps(r) for _, r in rows]})
+            for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
+                found, calls = (java_source if language == "JAVA" else kotlin_source).parse(path, content.decode("utf-8", "replace"))
+                if symbols:
+                    rows += [(f"{language}:{path}:{i:08d}", s, None) for i, s in enumerate(found)]
+                if sites:
+                    rows += [(f"{language}:{path}:{i:08d}", None, s) for i, s in enumerate(calls, len(found))]
+                if len(rows) >= BATCH_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-    return graph.scratch(sources.select("path", "language", "content").mapInPandas(run, "type string, seq string, data string"))
+    return sources.select("path", "language", "content").mapInArrow(run, schema)
 
 
 def classified(symbols: DataFrame) -> DataFrame:
@@ -141,9 +175,9 @@ def build(spark: SparkSession, workspace: Workspace) -> Project:
 
 def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None = None) -> Project:
     """The graph of files(path, language, content); modules are nodes and edges to add."""
-    rows = parsed(sources)
-    raw = rows.filter("type = 'symbol'").select(F.col("seq").alias("node_seq"), F.from_json("data", SYMBOL).alias("d")).select("node_seq", "d.*")
-    sites = rows.filter("type = 'site'").select(F.col("seq").alias("site"), F.from_json("data", SITE).alias("d")).select("site", "d.*")
+    rows = graph.scratch(parse(sources))
+    raw = rows.filter("symbol is not null").select(F.col("seq").alias("node_seq"), "symbol.*")
+    sites = rows.filter("site is not null").select(F.col("seq").alias("__seq"), "site.*").withColumnRenamed("__seq", "site")
     raw = graph.scratch(classified(raw))
     final = graph.scratch(qualified_ids(raw, raw.filter("kind = 'CLASS' and language = 'JAVA'")).distinct())
 
