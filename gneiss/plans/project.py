@@ -55,12 +55,18 @@ def arrow_column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def parse(sources: DataFrame, symbols: bool = True, sites: bool = True) -> DataFrame:
-    """seq, and `symbol` and `site` as wanted, of every file; a Java file that cannot be parsed ends the run.
+def some(fields: str, *names: str) -> str:
+    """Those of SYMBOL's or SITE's fields that are named."""
+    return ", ".join(f for f in fields.split(", ") if f.split(" ", 1)[0] in names)
 
-    A row has a symbol or a site. Files are parsed in the partitions they come in.
+
+def parse(sources: DataFrame, symbols: str = SYMBOL, sites: str = SITE) -> DataFrame:
+    """seq, and `symbol` and `site` with the fields wanted, of every file; a Java file that cannot be parsed ends the run.
+
+    A row has a symbol or a site; without fields, there is neither column nor row of that kind. Files are parsed in
+    the partitions they come in.
     """
-    fields = ["seq string", f"symbol struct<{SYMBOL}>" if symbols else "", f"site struct<{SITE}>" if sites else ""]
+    fields = ["seq string", f"symbol struct<{symbols}>" if symbols else "", f"site struct<{sites}>" if sites else ""]
     schema = StructType.fromDDL(", ".join(x for x in fields if x))
     arrow = to_arrow_schema(schema)
 
@@ -173,8 +179,20 @@ def build(spark: SparkSession, workspace: Workspace) -> Project:
     return from_sources(sources, modules)
 
 
-def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None = None) -> Project:
-    """The graph of files(path, language, content); modules are nodes and edges to add."""
+@dataclass
+class Links:
+    """What sources hold and how it is bound, as tables that from_sources() sums up."""
+
+    symbols: DataFrame
+    edges: DataFrame
+    placeholders: DataFrame
+    left: tuple[DataFrame, DataFrame]  # records of Java and Kotlin calls that their own language left over
+    across: DataFrame
+    injected: DataFrame
+
+
+def linked(sources: DataFrame) -> Links:
+    """The symbols of files(path, language, content) and the edges between them; edges may repeat."""
     rows = graph.scratch(parse(sources))
     raw = rows.filter("symbol is not null").select(F.col("seq").alias("node_seq"), "symbol.*")
     sites = rows.filter("site is not null").select(F.col("seq").alias("__seq"), "site.*").withColumnRenamed("__seq", "site")
@@ -199,7 +217,6 @@ def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None
     edges = edges.unionByName(kotlin_edges)
     nodes = nodes.unionByName(kotlin_nodes.withColumnRenamed("expr", "expression")).dropDuplicates(["id"])
     java_records, kotlin_records = graph.scratch(java_records), graph.scratch(kotlin_records)
-
     java_methods = symbols.filter("language = 'JAVA' and kind in ('METHOD', 'CONSTRUCTOR')").select("id", "name", F.size("params").alias("arity"), "receiver_type")
     across = resolve.cross_language(java_records, callables, True).unionByName(resolve.cross_language(kotlin_records, java_methods, False))
     across = graph.scratch(across)
@@ -208,6 +225,14 @@ def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None
     points = injection_points(symbols)
     injected = graph.scratch(resolve.injection(points, symbols.filter("kind = 'CLASS'")))
     edges = edges.unionByName(resolve.injection_edges(injected))
+    return Links(symbols, edges, nodes, (java_records, kotlin_records), across, injected)
+
+
+def from_sources(sources: DataFrame, modules: tuple[DataFrame, DataFrame] | None = None) -> Project:
+    """The graph of files(path, language, content); modules are nodes and edges to add."""
+    found = linked(sources)
+    symbols, edges, nodes, across, injected = found.symbols, found.edges, found.placeholders, found.across, found.injected
+    java_records, kotlin_records = found.left
     whole = complete(symbols).select(*FIELDS).unionByName(complete(nodes.withColumn("node_seq", F.concat(F.lit("UNRESOLVED:"), "id"))).select(*FIELDS))
     if modules is not None:
         module_nodes, module_edges = modules

@@ -37,4 +37,12 @@ def test_parse_gives_symbols_and_sites_in_one_order(spark, monkeypatch):
     assert (f["id"], f["many"], f["params"], f["imports"]) == ("p.A#f(int)", True, [("a", "int")], {"B": "q.B"})
     assert f["raw_annotations"] == [("X", [("y", "1")])] and f["super_class"] is None
     assert (site["name"], site["receiver_type"], site["imports"], site["wildcards"]) == ("g", "B", {"B": "q.B"}, [])
-    assert project.parse(sources, sites=False).columns == ["seq", "symbol"] and project.parse(sources, symbols=False).count() == 2
+    assert project.parse(sources, sites="").columns == ["seq", "symbol"] and project.parse(sources, "", "name string").count() == 2
+
+
+def test_bindings_leave_the_whole_graph_unwritten(spark):
+    before = working_tables(spark)
+    assert source_queries.java_bindings(spark, SMALL).count() > 0
+    new = working_tables(spark) - before
+    where = spark.conf.get("spark.checkpoint.dir")
+    assert new and not any("callees" in spark.read.parquet(f"{where}/{x}").columns for x in new)
