@@ -79,7 +79,7 @@ def parse(sources: DataFrame, symbols: str = SYMBOL, sites: str = SITE) -> DataF
         rows: list[tuple[str, dict | None, dict | None]] = []
         for batch in batches:
             for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
-                found, calls = (java_source if language == "JAVA" else kotlin_source).parse(path, content.decode("utf-8", "replace"))
+                found, calls = (java_source if language == "JAVA" else kotlin_source).parse(path, content.decode("utf-8", "replace"), bool(sites))
                 if symbols:
                     rows += [(f"{language}:{path}:{i:08d}", s, None) for i, s in enumerate(found)]
                 if sites:

@@ -46,3 +46,20 @@ def test_bindings_leave_the_whole_graph_unwritten(spark):
     new = working_tables(spark) - before
     where = spark.conf.get("spark.checkpoint.dir")
     assert new and not any("callees" in spark.read.parquet(f"{where}/{x}").columns for x in new)
+
+
+def test_plain_sources_are_cut_without_a_step_for_each_token(monkeypatch):
+    from gneiss.sources import java, kotlin, lexing
+
+    texts = [(java, 'package p; /* a\n* b */ class A { // x\n int f(int a) { return g("}", \'{\', 1.5e3); } }'), (kotlin, 'package p\n/* a */ fun f(a: Int) = g("$a }", \'"\')\n')]
+    columns = [lexing.tokens(text, k) for k, (_, text) in enumerate(texts)]
+    whole = [(m.parse("src/a", text), m.parse("src/a", text, False)) for m, text in texts]
+    monkeypatch.setattr(lexing, "plain", lambda *_: None)
+    assert [lexing.tokens(text, k) for k, (_, text) in enumerate(texts)] == columns
+    for (symbols, sites), (alone, none) in whole:
+        assert len(sites) == 1 and symbols == alone and none == []
+    assert [m.parse("src/a", text) for m, text in texts] == [found for found, _ in whole]
+    # Scanning step by step, as before, is for what has templates and other marks alone.
+    monkeypatch.undo()
+    monkeypatch.setattr(lexing, "scan", None)
+    assert [lexing.tokens(text, k) for k, (_, text) in enumerate(texts)] == columns
