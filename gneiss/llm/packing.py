@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, internal_id, materialize, outer_id
-from .tokens import word_ids
+from .tokens import word_ids_of
 
 CAPACITY = 4096
 #: Pieces that one block packs.
@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for whole in batches:
             for batch in by_bytes(whole, "__text"):
                 out: list[tuple] = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                    ids = word_ids(text or "", path) + end
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids_of(batch.column("__text").to_pylist(), path), strict=True):
+                    ids += end
                     for i in range(0, len(ids), 4 * capacity):
                         part = ids[i : i + 4 * capacity]
                         out.append((doc, i // (4 * capacity), i // 4, len(part) // 4, zlib.crc32(part)))

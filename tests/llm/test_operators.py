@@ -423,3 +423,19 @@ def test_empty_table_through_every_operator(spark):
         assert df.count() == 0
 
 
+
+
+def test_many_texts_are_looked_up_at_once(monkeypatch):
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    texts = ["One two, two-three.", None, "", "x" * 70 + " " + "Y" * 70 + " <s> 1.5", "long er " * 40, "One Two " + "y" * 70]
+    monkeypatch.setattr(tokens, "LONG_TEXT", 200)
+    alone = [tokens.word_ids(t or "", path) for t in texts]
+    tokens.worker_state().pop("encoded", None)
+    calls, of = [], tokens.Encodings.of
+    monkeypatch.setattr(tokens.Encodings, "of", lambda self, pieces: calls.append(len(pieces)) or of(self, pieces))
+    assert list(tokens.word_ids_of(texts[:3] + texts[5:], path)) == alone[:3] + alone[5:]
+    assert len(calls) == 1
+    assert list(tokens.word_ids_of(texts, path)) == alone
+    tokens.worker_state().pop("encoded", None)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    assert list(tokens.word_ids_of(texts, path)) == alone
