@@ -250,14 +250,14 @@ def anchor_keys(cut: Cut, shape: Shape) -> np.ndarray:
     return np.r_[left ^ np.uint64(0x5555), right]
 
 
-def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def filed(cut: Cut, shape: Shape, alive: np.ndarray | None = None, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """FILED: the windows of a cut's anchors, under the seed's extension to the left or right.
 
     data holds the tokens from the first of `count` windows to the end of the last, and the anchor lies `shift`
     tokens after its start. With `alive`, one flag for each window of each anchor, only those set are filed, and a
-    row holds windows without a gap.
+    row holds windows without a gap. `key` are the cut's anchor_keys(), where they are there already.
     """
-    key = anchor_keys(cut, shape)
+    key = anchor_keys(cut, shape) if key is None else key
     anchor, step = spread(cut.hi - cut.lo + 1)
     if alive is not None:
         anchor, step = anchor[alive], step[alive]

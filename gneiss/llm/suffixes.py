@@ -210,7 +210,7 @@ def sorted_texts(texts: DataFrame, shape: Shape) -> DataFrame:
             group = groups_of(key[np.where(offset >= shape.half, anchor, anchor + len(cut.at))], offset)
             late, first = neighbours(cut.tokens, cut.origin[anchor] + place, group, doc, place, shape.window)
             yield covered(doc[late], place[late], shape.window)
-            yield from filed(cut, shape, first)
+            yield from filed(cut, shape, first, key)
 
     return texts.mapInArrow(run, STEP)
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -439,3 +440,18 @@ def test_many_texts_are_looked_up_at_once(monkeypatch):
     tokens.worker_state().pop("encoded", None)
     monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
     assert list(tokens.word_ids_of(texts, path)) == alone
+
+
+def test_suffixes_hash_a_cut_for_its_keys_once(monkeypatch):
+    class Texts:
+        def mapInArrow(self, run, schema):
+            self.run = run
+
+    text, shape = b"abcdefghij" * 30, repeats.Shape(100, 32)
+    doc, at, lo, hi, _ = repeats.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shape)
+    batch = pa.RecordBatch.from_pydict({"doc": [0], "text": [text.decode()], "places": [repeats.pack_place(at, lo, hi).tolist()]})
+    texts, calls, keys = Texts(), [], repeats.anchor_keys
+    for module in (repeats, suffixes):
+        monkeypatch.setattr(module, "anchor_keys", lambda cut, shape: calls.append(1) or keys(cut, shape))
+    suffixes.sorted_texts(texts, shape)
+    assert sum(b.num_rows for b in texts.run(iter([batch]))) > 1 and len(calls) == 1
