@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
 import sys
@@ -119,6 +120,18 @@ def worker_state() -> dict:
     return sys.modules.setdefault("gneiss_worker_state", types.ModuleType("gneiss_worker_state")).__dict__
 
 
+def forget() -> None:
+    """Drop what tokenizing has left in this process, and give its memory back to the system.
+
+    Workers serve one stage after another and live on with their session; only tokenizing uses it again.
+    """
+    if not any([worker_state().pop(name, None) for name in ("encoded", "tokenizers")]):
+        return
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array laid end to end, and the n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

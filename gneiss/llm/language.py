@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, text_buffer, worker_state
+from .common import by_bytes, forget, materialize, text_buffer, worker_state
 
 #: n-grams of one to three characters fit 21 bits each into a 64-bit number.
 LONGEST = 3
@@ -23,6 +23,8 @@ PROFILE = 300
 SAMPLE = 4000
 #: Bytes from which a text is taken apart, so that memory does not grow with its length.
 LONG_TEXT = 1 << 21
+#: Bytes of short texts whose n-grams are taken at once; a worker needs about 200 times as much memory for them.
+TOGETHER = 1 << 18
 UNKNOWN = "und"
 
 
@@ -108,7 +110,7 @@ def added(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def counted_texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """What counted() gives for every text of a batch; short texts are taken together."""
-    for part in by_bytes(batch, name, 1 << 20):
+    for part in by_bytes(batch, name, TOGETHER):
         data, offsets = text_buffer(part.column(name))
         if part.num_rows == 1 and len(data) > LONG_TEXT:
             yield counted(memoryview(data))
@@ -150,6 +152,7 @@ def learn(training: DataFrame, lang: str = "lang", sample: int = SAMPLE, profile
     rows = labelled(training, lang, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             waiting: dict[str, list] = {}
@@ -213,6 +216,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], columns: tuple[st
     ranks = Ranks(profiles, profile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             row = batch.column("row")
             kept = [row.field(c) for c in columns]

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_bytes, internal_id, materialize, mix64
+from .common import NO_ID, by_bytes, forget, internal_id, materialize, mix64
 from .components import components
 from .minhash import shingle_hashes, text_hashes
 from .simhash import Forest, linked, split_cells, without
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc, text_key, same (digest of the set of shingles), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 sets = [shingles(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -74,6 +75,7 @@ def cells(classes: DataFrame) -> DataFrame:
     powers = np.array([(SEGMENT + 1) ** i for i in range(counted)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for i in range(0, whole.num_rows, 1 << 13):
                 batch = whole.slice(i, 1 << 13)
@@ -137,6 +139,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, least:
     texts = places(docs).join(found, ["doc", "text_key"]).select("cluster", "blocks", "node", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 sets = [shingles(t, width).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]

@@ -27,8 +27,11 @@ CLOSED_GAP = 0.004
 END_ID = 1
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every row's token ids with end_id after them."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remember: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every row's token ids with end_id after them.
+
+    Workers remember the ids of `remember` words a generation (None: CACHE_PIECES); fewer take less memory and more time.
+    """
     source = docs.select(internal_id("doc_id").alias("doc_id"), docs["text"].alias("__text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -36,7 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for whole in batches:
             for batch in by_bytes(whole, "__text"):
                 out: list[tuple] = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids_of(batch.column("__text").to_pylist(), path), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids_of(batch.column("__text").to_pylist(), path, remember), strict=True):
                     ids += end
                     for i in range(0, len(ids), 4 * capacity):
                         part = ids[i : i + 4 * capacity]
@@ -129,9 +132,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     return whole.select(outer_id("doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, remember: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
     A null or empty text is one piece that holds the end id alone.
     """
-    return pack(pieces(docs, path, capacity), capacity)
+    return pack(pieces(docs, path, capacity, remember=remember), capacity)

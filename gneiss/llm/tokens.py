@@ -41,10 +41,12 @@ def tokenizer(path: str):
     return loaded[path]
 
 
-def encodings(kind: str, path: str) -> Encodings:
+def encodings(kind: str, path: str, most: int | None = None) -> Encodings:
+    """What this process remembers of pieces under a tokenizer file, from now on at most `most` a generation."""
     known = worker_state().setdefault("encoded", {})
     if (kind, path) not in known:
         known[kind, path] = Encodings(path, len, False) if kind == "count" else Encodings(path, lambda code: np.array(code.ids, dtype="<u4").tobytes(), True)
+    known[kind, path].most = most or CACHE_PIECES
     return known[kind, path]
 
 
@@ -94,7 +96,7 @@ def spaced_pieces(text: str) -> list[str]:
 class Encodings:
     """What a worker remembers of pieces, as `value` of the library's encoding.
 
-    Two generations of at most CACHE_PIECES pieces: when the newer is full it becomes the older, so
+    Two generations of at most `most` pieces (CACHE_PIECES): when the newer is full it becomes the older, so
     frequent pieces stay. A piece not met yet is cut at LETTER_MARK, where both patterns end a token,
     and only parts not met yet are encoded.
     """
@@ -103,12 +105,13 @@ class Encodings:
         self.library, self.value, self.fold = tokenizer(path), value, fold
         self.ends = word_ends(self.library) if fold else None
         self.new, self.old = {}, {}
+        self.most = CACHE_PIECES
 
     def of(self, pieces: list[str]) -> list:
         missing = set(pieces).difference(self.new)
         if not missing:
             return list(map(self.new.__getitem__, pieces))
-        if len(self.new) + len(missing) > CACHE_PIECES:
+        if len(self.new) + len(missing) > self.most:
             self.old, self.new, missing = self.new, {}, set(pieces)
         self.learn(missing)
         found = list(map(self.new.__getitem__, pieces))
@@ -223,21 +226,21 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     return source.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def word_ids(text: str, path: str) -> bytes:
+def word_ids(text: str, path: str, most: int | None = None) -> bytes:
     """The ids of a text under a tokenizer file that drops white space, as little-endian 32-bit numbers.
 
     White space separates whatever that tokenizer makes, so the runs between it are encoded one by one.
     """
-    known = encodings("ids", path)
+    known = encodings("ids", path, most)
     return b"".join(b"".join(known.of(spaced_pieces(part))) for part in safe_parts(text, cut=SPACE))
 
 
-def word_ids_of(texts: list[str | None], path: str) -> Iterator[bytes]:
+def word_ids_of(texts: list[str | None], path: str, most: int | None = None) -> Iterator[bytes]:
     """word_ids of each text, of whose pieces those of many texts are looked up, and encoded, at once.
 
     About TOGETHER characters go together; a text longer than LONG_TEXT goes alone, in its own parts.
     """
-    known = encodings("ids", path)
+    known = encodings("ids", path, most)
     held: list[list[str]] = []
     size = 0
 
@@ -252,7 +255,7 @@ def word_ids_of(texts: list[str | None], path: str) -> Iterator[bytes]:
             yield from found()
             held, size = [], 0
         if text and len(text) > LONG_TEXT:
-            yield word_ids(text, path)
+            yield word_ids(text, path, most)
             continue
         held.append(spaced_pieces(text or ""))
         size += len(text or "")
